@@ -26,6 +26,10 @@ TRAIN_ROWS = 6000
 FEATURES = 1 << 15
 KEEP = 0.5
 GOOD, BAD, NONE = 1, -1, 0
+#: What is believed of a labeller beforehand, by class (bad, good) and vote (bad, good), and the share of the rows that it counts for:
+#: a vote of bad is rarely wrong, a vote of good says little, and no vote says nothing.
+PRIOR = np.array([[0.5, 0.5], [0.005, 0.995]])
+PRIOR_SHARE = 0.1
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(b"the of and to in is that it for was on are as with be by this at from or an der die das und ist von zu den mit sich des auf dem ein eine nicht le la les et un une est que des du dans pour par sur el los las de y en es por con para del se su al lo como".split())
@@ -56,7 +60,7 @@ def _repeats(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
 
 
 def _length(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    return BAD if len(words) < 5 else GOOD if len(words) >= 40 else NONE
+    return BAD if not words else GOOD if len(words) >= 40 else NONE
 
 
 def _sentences(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
@@ -77,7 +81,12 @@ def _variety(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
     return _between(len(set(words)) / len(words) ** 0.8, 0.5, 0.7, 99, 99) if len(words) >= 50 else NONE
 
 
-LABELLERS: tuple[Callable[[np.ndarray, list[bytes], list[bytes]], int], ...] = (_symbols, _capitals, _repeats, _length, _sentences, _stop_words, _bare_marks, _variety)
+def _stutter(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
+    """Words that repeat the word before them."""
+    return _between(sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), -1, 0, 0.05, 0.2) if len(words) >= 5 else NONE
+
+
+LABELLERS: tuple[Callable[[np.ndarray, list[bytes], list[bytes]], int], ...] = (_symbols, _capitals, _repeats, _length, _sentences, _stop_words, _bare_marks, _variety, _stutter)
 
 
 def votes(text: str | None) -> list[int]:
@@ -90,6 +99,8 @@ def votes(text: str | None) -> list[int]:
 
 _LOWER, _CAPS, _DIGITS = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
 _memo: dict[bytes, tuple[int, int]] = {}
+#: The shape of a word that repeats the word before it.
+_AGAIN = FEATURES // 2 + xxhash.xxh3_64_intdigest("again") % (FEATURES // 2)
 
 
 def _places(word: bytes) -> tuple[int, int]:
@@ -107,7 +118,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for w in set(words):
         if w not in _memo:
             _memo[w] = _places(w)
-    at, n = np.unique(np.array([_memo[w] for w in words], dtype=np.int32).ravel(), return_counts=True)
+    places = np.array([_memo[w] for w in words], dtype=np.int32)
+    places[1:, 1] = np.where(places[1:, 0] == places[:-1, 0], _AGAIN, places[1:, 1])
+    at, n = np.unique(places.ravel(), return_counts=True)
     v = np.sqrt(n.astype(np.float32))
     cut = np.searchsorted(at, FEATURES // 2)
     for half in (slice(0, cut), slice(cut, None)):
@@ -116,15 +129,17 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_labellers(patterns: list[tuple[list[int], int]], rounds: int = 100) -> tuple[np.ndarray, dict[tuple[int, ...], float], float]:
-    """EM over (votes, count): each labeller's vote probabilities by class [labeller, class, vote + 1], each pattern's posterior of good, and the prior."""
+    """EM over (votes, count): each labeller's probabilities [labeller, class, vote] of the votes bad and good if it votes, each pattern's posterior of good, and the prior."""
     votes_ = np.array([p for p, _ in patterns], dtype=np.int64).reshape(len(patterns), len(LABELLERS))
     n = np.array([c for _, c in patterns], dtype=np.float64)
-    post = 1 / (1 + np.exp(-2.0 * votes_.sum(axis=1)))
-    hot = np.stack([votes_ == v for v in (BAD, NONE, GOOD)], axis=2)
+    post = np.where((votes_ == BAD).any(axis=1), 0.05, 0.95)
+    belief = PRIOR_SHARE * n.sum() * PRIOR
+    hot = np.stack([votes_ == v for v in (BAD, GOOD)], axis=2)
     for _ in range(rounds):
         prior = (1 + n @ post) / (2 + n.sum())
-        table = np.stack([(1 + np.einsum("p,plv->lv", n * w, hot)) / (3 + n @ w) for w in (1 - post, post)], axis=1)
-        logs = np.log(table)[np.arange(len(LABELLERS))[None, :], :, votes_ + 1].sum(axis=1) + np.log([1 - prior, prior])
+        table = np.stack([b + np.einsum("p,plv->lv", n * w, hot) for b, w in zip(belief, (1 - post, post), strict=True)], axis=1)
+        table = (1 + table) / (2 + table.sum(axis=2, keepdims=True))
+        logs = np.einsum("plv,lcv->pc", hot, np.log(table)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
@@ -139,12 +154,10 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 3
         return w, 3.0
     at, v = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
     row, y = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), np.array([r[2] for r in rows])
-    # both classes count alike
-    weigh = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
     gw, gb = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v * w[at], len(rows)) + b, -30, 30)))
-        e = (p - y) * weigh
+        e = (p - y) / len(rows)
         g = np.bincount(at, v * e[row], FEATURES) + decay * w
         gw, gb = gw + g * g, gb + e.sum() ** 2
         w, b = w - 0.5 * g / np.sqrt(gw), b - 0.5 * e.sum() / np.sqrt(gb)
