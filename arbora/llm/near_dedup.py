@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,8 +39,14 @@ BLOCK_NODES = 512
 BLOCK_SHINGLES = 1_000_000
 
 
-def _key(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+#: Bits of the filter that tells most documents that take part from the rest: its size is fixed, more documents only blur it.
+FILTER_BITS = 1 << 23
+_BITMAP_BITS = 32768
+
+
+def _key(shingles: np.ndarray) -> int:
+    """A set's 64-bit hash, by which it is known from here on."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -55,10 +61,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 keys.append(_key(s) if len(s) else None)
                 signed.append(signer.sign(s).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "key", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(signed, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "key", "signature"])
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, key binary, signature array<int>")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, key long, signature array<int>")
 
 
 def prefix_posts(nodes: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def cells(members: DataFrame) -> DataFrame:
     return each.where("own <> other").unionAll(dealt.where("blocks = 1").select("hub", "key", "own", F.lit(0).cast("long").alias("other"))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key")
 
 
-def forest(keys: list[bytes], sets: list[np.ndarray], signed: np.ndarray, matches: int = MATCHES, percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
+def forest(keys: list[int], sets: list[np.ndarray], signed: np.ndarray, matches: int = MATCHES, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join the nodes as all confirmed pairs would: a spanning forest of them."""
     n = len(keys)
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -125,7 +131,7 @@ def _links(rows: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, sets, signed = None, [], [], []
 
-        def close() -> list[tuple[bytes, bytes]]:
+        def close() -> list[tuple[int, int]]:
             return forest(keys, sets, np.stack(signed)) if len(keys) > 1 else []
 
         for batch in batches:
@@ -137,30 +143,41 @@ def _links(rows: DataFrame) -> DataFrame:
                 keys.append(key)
                 sets.append(np.frombuffer(shingles, dtype=np.uint64))
                 signed.append(np.frombuffer(signature, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         found = close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "key", "shingles", "signature").mapInArrow(walk, "a long, b long")
 
-    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "key", "shingles", "signature").mapInArrow(walk, "a binary, b binary")
+
+def _place(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("filter"), doc_id), F.lit(FILTER_BITS))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets and signatures of the nodes in wanted (doc_id, key), read again from their whole texts."""
+    """(key, shingles, signature) from the whole texts of the documents in wanted (doc_id), and of the few others that a filter of fixed size lets through."""
+    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(F.col("doc_id")))
+    maps = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / _BITMAP_BITS).alias("n")).agg(F.bitmap_construct_agg(F.col("p") % _BITMAP_BITS).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for n, got in maps.collect():  # FILTER_BITS / 8 bytes at most
+        bits[n * _BITMAP_BITS // 8 :][: len(got)] = np.frombuffer(bytes(got), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(COORDINATES)
+        signer, sought = Signer(COORDINATES), np.unpackbits(shared.value, bitorder="little").view(bool)
         for batch in batches:
             keys, sets, signed = [], [], []
-            for text, key in zip(batch.column(0), batch.column(1), strict=True):
+            here = np.nonzero(sought[batch.column(1).to_numpy()])[0]
+            for text in batch.column(0).take(pa.array(here)):
                 s = shingle_set(text.as_py(), WORDS)
-                if len(s) and _key(s) == key.as_py():
-                    keys.append(key.as_py())
+                if len(s):
+                    keys.append(_key(s))
                     sets.append(s.tobytes())
                     signed.append(signer.sign(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keys, sets, signed)], ["key", "shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(signed, pa.binary())], ["key", "shingles", "signature"])
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(wanted, "doc_id").select("text", "key").mapInArrow(read, "key binary, shingles binary, signature binary").dropDuplicates(["key"])
+    return rows.select("text", place.alias("p")).mapInArrow(read, "key long, shingles binary, signature binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -172,7 +189,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null, has n_shingles 0, is linked with nothing and is kept. Repeated rows
     come out as often as they come in. Rows with a null doc_id count as texts;
     in a component of their own they have a null component_id and aren't kept.
-    Other columns of docs are ignored.
+    Other columns of docs are ignored. Sets and shingles are
+    known by 64-bit hashes.
     """
     signed = stash(signatures(docs), "signatures")
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
@@ -180,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = signed.select("doc_id", "key", "signature").join(nodes.select("doc_id", "key"), ["doc_id", "key"]).dropDuplicates(["key"])
     posts = stash(prefix_posts(first), "posts")
     members = stash(clusters(posts).join(nodes, "key"), "clusters")
-    sets = stash(_full_sets(docs, members.select("doc_id", "key").distinct()), "sets")
+    sets = stash(_full_sets(docs, members.select("doc_id").distinct()), "sets")
     links = _links(cells(members).join(sets, "key"))
     roots = components(links, "links")
     named = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
