@@ -85,7 +85,8 @@ def clusters(posts: DataFrame) -> DataFrame:
 def cells(members: DataFrame) -> DataFrame:
     """Deal each cluster (hub, key, n_shingles) out as rows (hub, i, j, key): one cell for each two of its blocks."""
     blocks = members.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = members.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    # written first, so that the join's both sides are shuffled for it and a hot hub can be split
+    dealt = members.join(stash(blocks, "blocks"), "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     each = dealt.select("hub", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     # a cluster of several blocks needs no cell of one block: each block meets itself in a cell of two
     return each.where("own <> other").unionAll(dealt.where("blocks = 1").select("hub", "key", "own", F.lit(0).cast("long").alias("other"))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key")
