@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stash(signatures(docs), "signatures")
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     nodes = stash(nodes, "nodes")
-    first = signed.select("doc_id", "key", "signature").join(nodes.select("doc_id", "key"), ["doc_id", "key"]).dropDuplicates(["key"])
+    chosen = nodes.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    first = signed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("key", "signature").dropDuplicates(["key"])
     posts = stash(prefix_posts(first), "posts")
     members = stash(clusters(posts).join(nodes, "key"), "clusters")
     sets = stash(_full_sets(docs, members.select("doc_id").distinct()), "sets")

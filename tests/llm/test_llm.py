@@ -73,6 +73,19 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert near_dedup.near_duplicates(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_without_an_id(spark):
+    rng = random.Random(9)
+    base = _words(rng, 200)
+    words = base.split(" ")
+    # 3 and 8 are similar only to the text between them, which has no id
+    left, right = " ".join(words[:165]), " ".join(words[35:])
+    texts = [(3, left), (None, base), (None, base), (8, right), (None, _words(rng, 50)), (9, _words(rng, 50))]
+    sets = [shingles.shingle_set(t) for _, t in texts]
+    assert shingles.similar(sets[0], sets[1]) and shingles.similar(sets[1], sets[3]) and not shingles.similar(sets[0], sets[3])
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, False), (-1, 3, False), (-1, 3, False), (3, 3, True), (8, 3, False), (9, 9, True)]
+
+
 def test_shingles():
     assert shingles.words_of("A\x0bB\x1cc\u00a0d É") == [b"a", "b\x1cc\u00a0d".encode(), "É".encode()]
     assert len(shingles.shingle_set("a b c d e f a b c d e")) == 6 + 1 - 1 and len(shingles.shingle_set("a b")) == 1
