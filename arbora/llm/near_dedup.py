@@ -6,11 +6,15 @@ coordinate-value pairs; pairs that no other node has cannot collide, so a node
 with fewer than ``MATCHES`` shared pairs is out, and of the rest only the
 ``shared - MATCHES + 1`` rarest (the prefix) are posted, since two nodes that
 agree on ``MATCHES`` coordinates must meet in their prefixes. Posting lists with
-the same most central node (the hub) form one cluster; a large cluster is dealt
-out as cells of two blocks, so that no task holds it whole. A cell counts the
-collisions of its nodes, skips nodes that it has already joined, confirms
-counts of at least ``MATCHES`` on the full sets and emits a spanning forest: a
-group of n copies costs up to n links a cell, not n * n.
+the same most central node (the hub) form one cluster. A cluster of more than
+one block is first joined with its hub: nodes that the full sets link with the
+hub are in one component already and needn't meet each other. What the hub
+doesn't reach (the rest) meets itself and the others in cells of two blocks, so
+that no task holds a cluster whole: a group of n near copies of which r are out
+of the hub's reach costs n spokes and about n * r / BLOCK_NODES rows of cells.
+A cell counts the collisions of its nodes, skips nodes that are joined already,
+confirms counts of at least ``MATCHES`` on the full sets and emits a spanning
+forest.
 
 Two sets of similarity 0.75 agree on fewer than 32 of 64 coordinates about
 once in 100,000 times.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import only, stash
-from .shingles import Signer, shingle_set
+from .shingles import Signer, shingle_set, similar
 
 COORDINATES = 64
 MATCHES = 32
@@ -82,25 +86,54 @@ def clusters(posts: DataFrame) -> DataFrame:
     return posts.join(hubs.select("token", F.col("hub.key").alias("hub")), "token").select("hub", "key").distinct()
 
 
-def cells(members: DataFrame) -> DataFrame:
-    """Deal each cluster (hub, key, n_shingles) out as rows (hub, i, j, key): one cell for each two of its blocks."""
-    blocks = members.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+def blocks(members: DataFrame) -> DataFrame:
+    """Rows (hub, blocks): the blocks that each cluster (hub, key, n_shingles) fills."""
+    return members.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+
+
+def spokes(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (hub, key, n_shingles, near): whether the full sets link each node of a large cluster with its hub."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(3), batch.column(4), strict=True)
+            near = [similar(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), PERCENT) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], ["hub", "key", "n_shingles", "near"])
+
     # written first, so that the join's both sides are shuffled for it and a hot hub can be split
-    dealt = members.join(stash(blocks, "blocks"), "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    each = dealt.select("hub", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    # a cluster of several blocks needs no cell of one block: each block meets itself in a cell of two
-    return each.where("own <> other").unionAll(dealt.where("blocks = 1").select("hub", "key", "own", F.lit(0).cast("long").alias("other"))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key")
+    hubs = stash(large.select("hub").distinct().join(sets.withColumnRenamed("key", "hub"), "hub").select("hub", F.col("shingles").alias("centre")), "hubs")
+    rows = large.join(sets.select("key", "shingles"), "key").join(hubs, "hub")
+    return rows.select("hub", "key", "n_shingles", "shingles", "centre").mapInArrow(confirm, "hub long, key long, n_shingles long, near boolean")
+
 
+def cells(spoken: DataFrame) -> DataFrame:
+    """Deal large clusters (hub, key, n_shingles, near) out as rows (hub, i, j, key, near).
 
-def forest(keys: list[int], sets: list[np.ndarray], signed: np.ndarray, matches: int = MATCHES, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join the nodes as all confirmed pairs would: a spanning forest of them."""
+    The rest of a cluster fills the blocks from 0 to r - 1, the nodes near the
+    hub those from r on; there is a cell for each two blocks of which one is of
+    the rest. The hub is near itself, so every block of the rest has a partner,
+    and meets itself there.
+    """
+    filled = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    counted = spoken.groupBy("hub", "near").agg(filled.alias("n")).groupBy("hub").agg(F.sum(F.when(~F.col("near"), F.col("n"))).alias("r"), F.sum(F.when(F.col("near"), F.col("n"))).alias("l"))
+    # written first, so that the join's both sides are shuffled for it and a hot hub can be split; a cluster without a rest has no cells
+    dealt = spoken.join(stash(counted.where("r > 0"), "blocks"), "hub")
+    own = F.when(F.col("near"), F.col("r") + F.pmod(F.xxhash64("key"), F.col("l"))).otherwise(F.pmod(F.xxhash64("key"), F.col("r")))
+    last = F.when(F.col("near"), F.col("r")).otherwise(F.col("r") + F.col("l")) - 1
+    each = dealt.select("hub", "key", "near", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")).where("own <> other")
+    return each.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "near")
+
+
+def forest(keys: list[int], sets: list[np.ndarray], signed: np.ndarray, near: np.ndarray, matches: int = MATCHES, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join the nodes as all confirmed pairs would, if those that are near are joined beforehand: a spanning forest of the rest of the links."""
     n = len(keys)
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order])
     ids, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     ends = np.cumsum(size)
     parts = [flat[e - s : e] for s, e in zip(size, ends, strict=True)]
-    signed, root, links = signed[order], np.arange(n), []
+    signed, near, links = signed[order], near[order], []
+    root = np.where(near, n, np.arange(n))
     mark = np.zeros(len(ids), dtype=bool)
     # the nodes with the most collisions come first: the more they join, the more is skipped
     collisions = np.zeros(n, dtype=np.int64)
@@ -127,28 +160,29 @@ def forest(keys: list[int], sets: list[np.ndarray], signed: np.ndarray, matches:
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """The forests' links (a, b) of all cells; rows has hub, i, j, key, shingles, signature."""
+    """The forests' links (a, b) of all cells; rows has hub, i, j, key, near, shingles, signature."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sets, signed = None, [], [], []
+        at, keys, near, sets, signed = None, [], [], [], []
 
         def close() -> list[tuple[int, int]]:
-            return forest(keys, sets, np.stack(signed)) if len(keys) > 1 else []
+            return forest(keys, sets, np.stack(signed), np.array(near, dtype=bool)) if len(keys) > 1 else []
 
         for batch in batches:
             found = []
-            for hub, i, j, key, shingles, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hub, i, j, key, joined, shingles, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (hub, i, j):
                     found += close()
-                    at, keys, sets, signed = (hub, i, j), [], [], []
+                    at, keys, near, sets, signed = (hub, i, j), [], [], [], []
                 keys.append(key)
+                near.append(joined)
                 sets.append(np.frombuffer(shingles, dtype=np.uint64))
                 signed.append(np.frombuffer(signature, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         found = close()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "key", "shingles", "signature").mapInArrow(walk, "a long, b long")
+    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "key", "near", "shingles", "signature").mapInArrow(walk, "a long, b long")
 
 
 def _place(doc_id: Column) -> Column:
@@ -200,9 +234,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = signed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("key", "signature").dropDuplicates(["key"])
     posts = stash(prefix_posts(first), "posts")
     members = stash(clusters(posts).join(nodes, "key"), "clusters")
-    sets = stash(_full_sets(docs, members.select("doc_id").distinct()), "sets")
-    links = _links(cells(members).join(sets, "key"))
-    roots = components(links, "links")
+    # rows that are repeated, or have no id, can give a set many times; a cell gets it once
+    sets = stash(_full_sets(docs, members.select("doc_id").distinct()).groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "sets")
+    filled = stash(blocks(members), "filled")
+    zero = F.lit(0).cast("long")
+    small = members.join(filled.where("blocks = 1"), "hub", "left_semi").select("hub", zero.alias("i"), zero.alias("j"), "key", F.lit(False).alias("near"))
+    large = members.join(filled.where("blocks > 1"), "hub", "left_semi").select("hub", "key", "n_shingles")
+    spoken = stash(spokes(large, sets), "spokes")
+    links = _links(small.unionAll(cells(spoken)).join(sets, "key"))
+    roots = components(links.unionAll(spoken.where("near").select(F.col("hub").alias("a"), F.col("key").alias("b"))), "links")
     named = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = stash(named.join(least, "root").select("key", "component_id"), "classes")

@@ -73,6 +73,43 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert near_dedup.near_duplicates(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_out_of_the_hubs_reach(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 4)
+    rng = random.Random(9)
+    # a chain: each text moves a window of 100 words on by one, so that only those close by are similar and none reaches all
+    run = _words(rng, 200).split(" ")
+    texts = [" ".join(run[k : k + 100]) for k in range(40)]
+    # a third of the rows in one group, whose members are near the base, but partly not near each other; one pair hangs on a member only
+    base = _words(rng, 300)
+    group = [_edited(rng, base, rng.choice([0.005, 0.01, 0.015, 0.02, 0.03])) for _ in range(60)]
+    texts += group + [_edited(rng, g, 0.015) for g in group[:15]] + [base]
+    rng.shuffle(texts)
+    sets = [shingles.shingle_set(t) for t in texts]
+    want = _components(sets)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(_docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    linked = sum(shingles.similar(a, b) for a in sets for b in sets)
+    assert len(sets) * 5 < linked < len(sets) ** 2 / 2
+
+
+def test_a_forest_skips_what_the_hub_has_joined():
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.choice(1 << 40, 100, replace=False)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], base[:k] + np.uint64(1)])) for k in (0, 2, 4, 6)]
+    signed = np.stack([shingles.Signer(64).sign(s) for s in sets])
+    assert len(near_dedup.forest([0, 1, 2, 3], sets, signed, np.zeros(4, dtype=bool))) == 3
+    found = near_dedup.forest([0, 1, 2, 3], sets, signed, np.array([True, True, True, False]))
+    assert len(found) == 1 and 3 in found[0]
+
+
+def test_near_duplicates_of_many_rows_without_id(spark):
+    rng = random.Random(12)
+    text = _words(rng, 50)
+    rows = [(None, text)] * 300 + [(None, _edited(rng, text, 0.01)), (7, text), (7, text), (8, _words(rng, 50))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 304 and {r.component_id for r in got if r.doc_id != 8} == {7} and sum(r.kept for r in got) == 3
+
+
 def test_near_duplicates_of_rows_without_an_id(spark):
     rng = random.Random(9)
     base = _words(rng, 200)
