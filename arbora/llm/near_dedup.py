@@ -244,7 +244,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _links(small.unionAll(cells(spoken)).join(sets, "key"))
     roots = components(links.unionAll(spoken.where("near").select(F.col("hub").alias("a"), F.col("key").alias("b"))), "links")
     named = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # both written first, so that the join's both sides are shuffled for it and a hot component can be split
+    named = stash(named, "named")
+    least = stash(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     classes = stash(named.join(least, "root").select("key", "component_id"), "classes")
     out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
