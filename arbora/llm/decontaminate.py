@@ -1,21 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Every 4-word sequence of an item is a seed. One pass over the documents finds
-where seeds occur; an item is then sought by the rarer half of its seeds only,
-counted over the corpus, so that frequent phrases propose nothing, while a
-passage that leaked into many documents still has its rarer half. Where a seed
-joins a document and an item, the item is aligned with the surrounding words;
-the score is that of the best local alignment over that of a full copy.
+where seeds occur, and each of them proposes its document and item: what an
+edit leaves of an item can be just its frequent phrases. Around the seeds the
+words that both have are counted, which bounds the score from above; where it
+can be high enough, the item is aligned with the surrounding words. The score is
+that of the best local alignment over that of a full copy.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import only, stash
@@ -64,6 +64,11 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def shared_words(doc: np.ndarray, item: np.ndarray) -> int:
+    """As many words as an alignment can match at most."""
+    return min(int(np.isin(doc, item).sum()), int(np.isin(item, doc).sum()))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return only(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item"))
 
@@ -124,7 +129,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
     Score: the best local alignment of words over a full copy's (six decimals);
     pairs from least on, and for items of fewer than five words only full
-    copies. Words are lower-cased and lose the marks at their ends. Null and
+    copies. A pair is found if it shares a run of four words (an item of fewer
+    words: a run of all of them). Words are lower-cased and lose the marks at their ends. Null and
     empty texts and items hold nothing; a document row that is repeated gives
     its pairs once; rows with null ids are left out; empty tables give no rows;
     other columns are ignored. Whole documents are searched. An item of fewer
@@ -134,12 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     seeds = stash(_seeds(items), "seeds")
     hits = stash(_hits(docs.where("doc_id IS NOT NULL"), seeds).withColumn("row", F.monotonically_increasing_id()), "hits")
     each = hits.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("x")).select("row", F.col("x.seeds").alias("seed"), F.col("x.at").alias("p"))
-    met = each.join(seeds.select("seed").distinct(), "seed", "left_semi")
-    df = met.select("row", "seed").distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    ranked = seeds.join(df, "seed").withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy("df", "seed", "j")))
-    half = seeds.groupBy("item_id").agg(F.greatest(F.lit(4), F.ceil(F.count("*") / 2)).alias("half"))
-    rare = ranked.join(half, "item_id").where("r <= half").select("seed", "item_id", "j")
-    pairs = met.join(rare, "seed").select("row", "item_id", (F.col("p") - F.col("j")).alias("d")).distinct().groupBy("row", "item_id").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    pairs = each.join(seeds, "seed").select("row", "item_id", (F.col("p") - F.col("j")).alias("d")).distinct().groupBy("row", "item_id").agg(F.array_sort(F.collect_list("d")).alias("d"))
     both = pairs.join(hits.select("row", "doc_id", "text"), "row").join(items, "item_id").select("doc_id", "item_id", "text", "item", "d")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
                 if last[0] is not text:
                     last = (text, word_hashes(plain_words(text)))
                 words, sought = last[1], word_hashes(plain_words(item))
-                pad, best, windows = 2 + len(sought) // 2, (0, 0, 0), []
+                # an alignment of the least score has at most pad words more than the item
+                pad, best, windows = 1 + math.ceil(MATCH * len(sought) * (1 - least) / -GAP), (0, 0, 0), []
                 for d in at:  # ascending; windows that overlap become one
                     lo, hi = max(0, d - pad), min(len(words), d + len(sought) + pad)
                     if windows and lo <= windows[-1][1]:
@@ -158,6 +160,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
                     else:
                         windows.append([lo, hi])
                 for lo, hi in windows:
+                    if MATCH * shared_words(words[lo:hi], sought) < least * MATCH * len(sought):
+                        continue
                     got = align(words[lo:hi], sought)
                     if got[0] > best[0]:
                         best = (got[0], got[1] + lo, got[2] + lo)
