@@ -1,14 +1,16 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page's tokens are the tag paths of its elements and the texts of its blocks
-outside an article. A token's occurrence vector over the pages of its host is
+A page's tokens are the tag paths of its elements and the texts of its blocks,
+in articles too. A token's occurrence vector over the pages of its host is
 kept as the sum of count * code(page), so vectors are compared without being
 gathered. Tokens with equal vectors on at least half of a host's pages are an
 equivalence class; the class of the body is the template's skeleton, and a
 class is valid if its paths nest in the skeleton. What the classes hold is
 template: their block texts are dropped, and their innermost container that
-holds most of the host's running text is the main slot. A page with an article
-of its own marks its main slot itself.
+holds most of the host's running text is the main slot. An article or main
+element is evidence only: a slot in one is widened to all of it, and its texts
+aren't taken for template; where the classes give no such slot, a page's
+articles are its main text if they hold most of its running text.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 _TAG = re.compile(r"<(?:!--(?:>|->|(?s:.*?)(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: The innermost article or main of a path.
+_MARKED = r"^(.*/(?:article|main))(?:/.*)?$"
+#: Paths of blocks that are text rather than containers of a page's text.
+_LEAF = r"/(?:p|h[1-6]|pre|blockquote|li|dt|dd|address|caption|figcaption|legend|summary)$"
 _WORD = re.compile(r"[A-Za-z]+")
 
 
@@ -150,8 +156,8 @@ def _code(x: str) -> int:
 def page_tokens(page: str | None) -> dict[str, list[int]]:
     """For each token of a page: its count, and the characters of running text (outside links and what is out) under it."""
     tokens: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for path, text, out, within, linked in blocks(page):
-        if not within:
+    for path, text, out, _, linked in blocks(page):
+        if not out:
             tokens[f"t{_code(path + chr(0) + text):x}"][0] += 1
         if not out and not path.count("/") > 40:
             run, at = max(0, len(text) - linked), path
@@ -190,26 +196,34 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = common.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "mass")).alias("members"), F.max(F.col("vector") == F.col("body")).alias("skeleton"))
     flat = classes.select("host", "skeleton", F.explode("members").alias("m")).select("host", "skeleton", "m.token", "m.mass")
     total = F.max(F.when(F.substring("token", 1, 1) == "p", F.col("mass"))).alias("total")
-    deepest = F.array_sort(F.collect_list(F.when(F.col("skeleton") & (F.substring("token", 1, 1) == "p"), F.struct((-F.char_length("token")).alias("n"), "token", "mass")))).alias("paths")
+    deepest = F.array_sort(F.collect_list(F.when(F.col("skeleton") & (F.substring("token", 1, 1) == "p") & ~F.col("token").rlike(_LEAF), F.struct((-F.char_length("token")).alias("n"), "token", "mass")))).alias("paths")
     texts = F.collect_set(F.when(F.substring("token", 1, 1) == "t", F.substring("token", 2, 99))).alias("texts")
     per = flat.groupBy("host").agg(total, deepest, texts)
-    main = F.element_at(F.filter("paths", lambda p: p["mass"] >= F.col("total") * MAIN_SHARE), 1)
-    return per.select("host", F.when(F.size(F.filter("paths", lambda p: p["mass"] >= F.col("total") * MAIN_SHARE)) > 0, F.substring(main["token"], 2, 9999)).alias("main"), "texts")
+    slot = F.substring(F.element_at(F.filter("paths", lambda p: p["mass"] >= F.col("total") * MAIN_SHARE), 1)["token"], 2, 9999)
+    found = per.select("host", F.when(F.size(F.filter("paths", lambda p: p["mass"] >= F.col("total") * MAIN_SHARE)) > 0, slot).alias("slot"), "texts")
+    return found.select("host", F.coalesce(F.nullif(F.regexp_extract("slot", _MARKED, 1), F.lit("")), "slot").alias("main"), "texts")
 
 
 def slot_text(page: str | None, main: str | None = None, texts: frozenset[str] | None = None) -> str:
     """The blocks of a page's main slot that aren't out, joined by two line ends."""
-    got = blocks(page)
-    own = [b for b in got if b[3]]
-    if own:
-        kept = [b for b in own if not b[2]]
+    got = [b for b in blocks(page) if not b[2]]
+    slot = [b for b in got if main and (b[0] == main or b[0].startswith(main + "/"))]
+    if slot and main.endswith(("/article", "/main")):
+        kept = slot
     else:
-        kept = [b for b in got if not b[2] and f"{_code(b[0] + chr(0) + b[1]):x}" not in (texts or ())]
-        slot = [b for b in kept if main and (b[0] == main or b[0].startswith(main + "/"))]
-        kept = slot or kept
+        fresh = [b for b in got if f"{_code(b[0] + chr(0) + b[1]):x}" not in (texts or ())]
+        kept = [b for b in fresh if main and (b[0] == main or b[0].startswith(main + "/"))] or fresh
+        own = [b for b in kept if b[3]]
+        if own and _running(own) >= MAIN_SHARE * _running(kept):
+            kept = own
     return "\n\n".join(b[1] for b in kept if b[1])
 
 
+def _running(found: list[tuple[str, str, bool, bool, int]]) -> int:
+    """The characters of blocks outside links."""
+    return sum(max(0, len(b[1]) - b[4]) for b in found)
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars.
 

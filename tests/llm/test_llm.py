@@ -335,6 +335,16 @@ def test_main_text(spark):
     assert html_text.main_text(df).count() == len(pages) and html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_main_slot_is_deduced_beside_articles(spark):
+    long = "This page's own text, which goes on for a good while."
+    pages = [(k, f"http://teaser.example/{k}", _page(k, f"<article class=card><p>Read our other page.</p></article><div><h1>T{k}</h1><p>{long} {k}</p></div>")) for k in range(5)]
+    pages += [(10, "http://alone.example/", _page(0, f"<article class=card><p>Teaser.</p></article><div><p>{long}</p></div>"))]
+    pages += [(20 + k, f"http://deep.example/{k}", _page(k, f"<p>Part {k}</p><article><h1>T{k}</h1><div><p>{long} {k}</p></div></article>")) for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got[3] == f"T3\n\n{long} 3" and got[10] == f"Teaser.\n\n{long}" and got[22] == f"T2\n\n{long} 2"
+
+
 def test_pipeline_is_its_stages(spark):
     import os
 
