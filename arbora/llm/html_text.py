@@ -5,8 +5,9 @@ in articles too. A token's occurrence vector over the pages of its host is
 kept as the sum of count * code(page), so vectors are compared without being
 gathered. Tokens with equal vectors on at least half of a host's pages are an
 equivalence class; the class of the body is the template's skeleton, and a
-class is valid if its paths nest in the skeleton. What the classes hold is
-template: their block texts are dropped, and their innermost container that
+class of several tokens is valid if its tokens nest in the skeleton or in its
+own paths; a text of all pages is valid too. Pages of the same html count once.
+What valid classes hold is template: their block texts are dropped, and their innermost container that
 holds most of the host's running text is the main slot. An article or main
 element is evidence only: a slot in one is widened to all of it, and its texts
 aren't taken for template; where the classes give no such slot, a page's
@@ -158,7 +159,7 @@ def page_tokens(page: str | None) -> dict[str, list[int]]:
     tokens: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for path, text, out, _, linked in blocks(page):
         if not out:
-            tokens[f"t{_code(path + chr(0) + text):x}"][0] += 1
+            tokens[f"t{_code(path + chr(0) + text):x} {path}"][0] += 1
         if not out and not path.count("/") > 40:
             run, at = max(0, len(text) - linked), path
             tokens["p" + path][0] += 1
@@ -171,6 +172,14 @@ def page_tokens(page: str | None) -> dict[str, list[int]]:
     return tokens
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """One row of each (host, html); only rows that are repeated are shuffled whole."""
+    keyed = rows.withColumn("same", F.xxhash64("html"))
+    repeated = stash(keyed.groupBy("host", "same").agg(F.count("*").alias("n")).where("n > 1").select("host", "same"), "repeated")
+    again = keyed.join(repeated, ["host", "same"], "left_semi").dropDuplicates(["host", "same"])
+    return keyed.join(repeated, ["host", "same"], "left_anti").unionByName(again).select("host", "html")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, texts): each host's main slot (null if none holds most of its text) and the codes of its template's block texts."""
 
@@ -188,16 +197,23 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(3)]], ["host", "token", "pages", "vector", "mass"])
 
     rows = only(pages, "url", "html").select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    each = rows.mapInArrow(count, "host string, token string, pages long, vector long, mass long")
+    each = _distinct(rows).mapInArrow(count, "host string, token string, pages long, vector long, mass long")
     sums = stash(each.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("mass").alias("mass")).where(F.col("pages") >= LEAST_PAGES), "tokens")
     whole = sums.where("token = ''").select("host", F.col("pages").alias("all"), F.col("vector").alias("body"))
     common = sums.where("token <> ''").join(whole, "host").where(F.col("pages") * 2 >= F.col("all"))
     # equivalence classes: equal vectors; the skeleton is the class of the page itself
-    classes = common.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "mass")).alias("members"), F.max(F.col("vector") == F.col("body")).alias("skeleton"))
-    flat = classes.select("host", "skeleton", F.explode("members").alias("m")).select("host", "skeleton", "m.token", "m.mass")
+    path = F.when(F.col("token").startswith("p"), F.expr("substring(token, 2)")).otherwise(F.expr("substring_index(token, ' ', -1)"))
+    member = F.struct("token", "mass", path.alias("path"), (F.col("pages") == F.col("all")).alias("always"))
+    classes = common.groupBy("host", "vector", "pages").agg(F.collect_list(member).alias("members"), F.max(F.col("vector") == F.col("body")).alias("skeleton"))
+    paths = F.transform(F.filter("members", lambda m: m["token"].startswith("p")), lambda m: m["path"])
+    bones = classes.where("skeleton").select("host", paths.alias("bones"))
+    held = F.array_union(paths, F.coalesce("bones", F.array().cast("array<string>")))
+    nested = F.forall("members", lambda m: F.array_contains(held, m["path"]) & m["token"].startswith("t") | F.array_contains(held, F.regexp_replace(m["path"], "/[^/]*$", "")))
+    valid = F.col("skeleton") | (F.size("members") > 1) & nested
+    flat = classes.join(bones, "host", "left").select("host", "skeleton", valid.alias("valid"), F.explode("members").alias("m")).select("host", "skeleton", (F.col("valid") | F.col("m.always")).alias("valid"), "m.token", "m.mass")
     total = F.max(F.when(F.substring("token", 1, 1) == "p", F.col("mass"))).alias("total")
     deepest = F.array_sort(F.collect_list(F.when(F.col("skeleton") & (F.substring("token", 1, 1) == "p") & ~F.col("token").rlike(_LEAF), F.struct((-F.char_length("token")).alias("n"), "token", "mass")))).alias("paths")
-    texts = F.collect_set(F.when(F.substring("token", 1, 1) == "t", F.substring("token", 2, 99))).alias("texts")
+    texts = F.collect_set(F.when((F.substring("token", 1, 1) == "t") & F.col("valid"), F.expr("substring(substring_index(token, ' ', 1), 2)"))).alias("texts")
     per = flat.groupBy("host").agg(total, deepest, texts)
     slot = F.substring(F.element_at(F.filter("paths", lambda p: p["mass"] >= F.col("total") * MAIN_SHARE), 1)["token"], 2, 9999)
     found = per.select("host", F.when(F.size(F.filter("paths", lambda p: p["mass"] >= F.col("total") * MAIN_SHARE)) > 0, slot).alias("slot"), "texts")

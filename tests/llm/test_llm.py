@@ -345,6 +345,20 @@ def test_main_slot_is_deduced_beside_articles(spark):
     assert got[3] == f"T3\n\n{long} 3" and got[10] == f"Teaser.\n\n{long}" and got[22] == f"T2\n\n{long} 2"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = _page(0, "<div><h1>Title</h1><p>The one page of this host, many times over.</p></div>")
+    pages = [(k, "http://copies.example/", copy) for k in range(8)] + [(8 + k, None, copy) for k in range(5)]
+    # three in five pages have the heading, all have the line, and a box is on some
+    box = "<section><h4>Our paper</h4><p>Order it today.</p></section>"
+    body = "<div>Same line</div><div><p>{0}</p><p>Text {1} of this page, at some length.</p></div>{2}"
+    pages += [(20 + k, f"http://some.example/{k}", _page(k, body.format("A word before" if k % 5 < 3 else f"Other {k}", k, box if k % 2 else ""))) for k in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert {got[k] for k in range(13)} == {"Title\n\nThe one page of this host, many times over."}
+    assert got[20] == "A word before\n\nText 0 of this page, at some length."
+    assert got[23] == "Other 3\n\nText 3 of this page, at some length."
+
+
 def test_pipeline_is_its_stages(spark):
     import os
 
