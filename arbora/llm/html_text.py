@@ -57,6 +57,15 @@ _LEAF = r"/(?:p|h[1-6]|pre|blockquote|li|dt|dd|address|caption|figcaption|legend
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+def _marks(name: str, key: str, value: str, within: bool) -> list[str]:
+    """What may mark an element: whole names in an article and of text blocks, whose ids say what they are about, else their words."""
+    if key == "id" and (name in HEADINGS or name == "section" and within):
+        return []
+    if within or name in HEADINGS or name == "p" or name == "section" and key == "id":
+        return value.split()
+    return _WORD.findall(value)
+
+
 def _out(name: str, attributes: str, within: bool) -> bool:
     """Whether an element isn't main text, by its name and attributes."""
     if name in OUT or name == "header" and not within:
@@ -67,7 +76,7 @@ def _out(name: str, attributes: str, within: bool) -> bool:
         value, key = "".join(values).lower(), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role") and any(w in OUT_WORDS for w in _WORD.findall(value)):
+        if key in ("class", "id", "role") and any(w in OUT_WORDS for w in _marks(name, key, value, within)):
             return True
     return False
 

@@ -359,6 +359,12 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got[23] == "Other 3\n\nText 3 of this page, at some length."
 
 
+def test_slugs_and_ids_of_an_article_mark_nothing():
+    inside = "<h2 id='related-work'>A</h2><section id='search-methods'><p>B</p></section><p id='social-history'>C</p><div class='notice-of-results'>D</div><h3 id=comments>E</h3><section id=search>F</section>"
+    assert html_text.slot_text(f"<article>{inside}<div class='x ads'>no</div><div id=comments>no</div><p class=byline>no</article>") == "A\n\nB\n\nC\n\nD\n\nE\n\nF"
+    assert html_text.slot_text("<div><h2 id='related-work'>A</h2><section id='search-methods'>B</section><p id='social-history'>C</p></div><div class='site-footer'>no</div><div id='cookie-banner'>no</div>") == "A\n\nB\n\nC"
+
+
 def test_pipeline_is_its_stages(spark):
     import os
 
