@@ -74,31 +74,37 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, j): the seeds of all items and their places."""
+    """(seed, item_id, j, n): the seeds of all items, their places and their words; an item of fewer words is one seed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, ids, places = [], [], []
+            seeds, ids, places, sizes = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g = _signed(gram_hashes(word_hashes(plain_words(text)), SEED_WORDS))
+                h = word_hashes(plain_words(text))
+                g = _signed(gram_hashes(h, SEED_WORDS))
                 seeds += g.tolist()
                 ids += [i] * len(g)
                 places += range(len(g))
-            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["seed", "item_id", "j"])
+                sizes += [min(SEED_WORDS, len(h))] * len(g)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], ["seed", "item_id", "j", "n"])
 
-    return items.mapInArrow(cut, "seed long, item_id long, j int")
+    return items.mapInArrow(cut, "seed long, item_id long, j int, n int")
 
 
-def _grams(text: str | None) -> np.ndarray:
-    """All seeds-to-be of a text by place; shorter sequences too, for items of fewer words."""
+def _grams(text: str | None, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All seeds-to-be of a text and their places, for each of the seeds' lengths."""
     h = word_hashes(plain_words(text))
-    return _signed(gram_hashes(h, SEED_WORDS))
+    grams = [_signed(gram_hashes(h, n)) for n in lengths if n <= len(h)]
+    if not grams:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(grams), np.concatenate([np.arange(len(g)) for g in grams])
 
 
 def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, text, seeds, at): the rows of docs in which seeds occur, and where."""
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     distinct = seeds.select("seed").distinct()
+    lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # SEED_WORDS values at most
     known = distinct.limit(BROADCAST_SEEDS + 1).count()
     few = known <= BROADCAST_SEEDS
     wanted = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64)) if few else None)
@@ -108,7 +114,7 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         for batch in batches:
             take, found, places = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                g = _grams(text)
+                g, p = _grams(text, lengths)
                 if sought is not None:
                     if not len(sought) or not len(g):
                         continue
@@ -118,7 +124,7 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 if len(at):
                     take.append(k)
                     found.append(g[at])
-                    places.append(at.astype(np.int32))
+                    places.append(p[at].astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(take, pa.int64())) for c in batch.columns), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "text", "seeds", "at"])
 
     return rows.mapInArrow(find, "doc_id long, text string, seeds array<long>, at array<int>")
@@ -133,8 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     words: a run of all of them). Words are lower-cased and lose the marks at their ends. Null and
     empty texts and items hold nothing; a document row that is repeated gives
     its pairs once; rows with null ids are left out; empty tables give no rows;
-    other columns are ignored. Whole documents are searched. An item of fewer
-    than four words can be found only in a document of as many words.
+    other columns are ignored. Whole documents are searched.
     """
     items = stash(_items(benchmark).where("item_id IS NOT NULL").dropDuplicates(["item_id"]), "items")
     seeds = stash(_seeds(items), "seeds")
