@@ -21,6 +21,23 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
 }
+#: The characters of each country's IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    """An IBAN of so many characters that ends where its run of characters does."""
+    groups, rest = divmod(length - 4, 4)
+    tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![A-Z0-9])"
+
+
+#: What is searched for: an IBAN has its country's length, so that a word or number behind it isn't taken with it; other proposals are as in PATTERNS.
+SOUGHT = PATTERNS | {"iban": f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items())}|{PATTERNS['iban']})"}
 BASE = ("email", "ip", "card", "phone")
 
 #: A confirmed span's score in percent without context, and the words that raise it.
@@ -87,8 +104,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(k) for k, p in PATTERNS.items()])
-    each = [_confirmed_spans(kind, pattern) for kind, pattern in PATTERNS.items()]
+    got = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(k) for k, p in SOUGHT.items()])
+    each = [_confirmed_spans(kind, pattern) for kind, pattern in SOUGHT.items()]
     return got.select("doc_id", F.concat(*each).alias("spans"))
 
 

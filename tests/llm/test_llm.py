@@ -297,6 +297,13 @@ def test_pii(spark):
     assert pii.find_pii(_docs(spark, PII).limit(0)).count() == 0
 
 
+def test_ibans_before_words_and_numbers(spark):
+    es, de, no = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    texts = [f"{es} BIC CAIXESBB", f"pay {es} 100 EUR", f"{es} {de} {no}", f"{es.replace(' ', '')} X1", f"{de} 12", f"{no} 5 KR", "ES91 2100 0418 4502 0005 1333 BIC", f"{es[:-1]} BIC"]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.find_pii(_docs(spark, texts)).collect()}
+    assert [got[k] for k in range(8)] == [[(0, 29)], [(4, 33)], [(0, 29), (30, 57), (58, 76)], [(0, 24)], [(0, 27)], [(0, 18)], [], []]
+
+
 def test_url_rules(spark):
     urls = ["https://A.Example.ORG/es/1?x#y", "http://example.org/en/1", "http://example.org/en/2", "http://notexample.org/es/", "http://x.com/de/", "http://com", "x://y.com/fr/a://b", None, "no host", "http://example.org", "http://.org/", "http://org./a"]
     df = spark.createDataFrame([(k, u, "clash", "clash") for k, u in enumerate(urls)] * 2, "page_id long, url string, host string, key string")
