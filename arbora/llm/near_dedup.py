@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .shared import only, stash
@@ -227,6 +228,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns of docs are ignored. Sets and shingles are
     known by 64-bit hashes.
     """
+    signed, named, least = _grouped(docs)
+    classes = stash(named.join(least, "root").select("key", "component_id"), "classes")
+    out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures; (key, doc_id, root) of each set; (root, component_id, first_key) of each component: its smallest doc_id and a set that has it."""
     signed = stash(signatures(docs), "signatures")
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     nodes = stash(nodes, "nodes")
@@ -246,14 +256,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # both written first, so that the join's both sides are shuffled for it and a hot component can be split
     named = stash(named, "named")
-    least = stash(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    classes = stash(named.join(least, "root").select("key", "component_id"), "classes")
-    out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    least = named.groupBy("root").agg(first.alias("first")).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+    return signed, named, stash(least, "least")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each text's set as _key, null for an empty set."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), WORDS) for text in batch.column(0)]
+            keys = pa.array([_key(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, *batch.columns[1:]], ["_key", *batch.schema.names[1:]])
+
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *[docs[f"`{c}`"] for c in docs.columns])
+    return rows.mapInArrow(read, StructType([StructField("_key", LongType()), *docs.schema.fields]))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps: of each group, those of its smallest doc_id (all of its columns stay)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One row of each group of near duplicates, of its smallest doc_id (all of its columns stay), and all rows without words.
+
+    A group whose rows all have a null doc_id keeps one of them. Rows that share
+    a doc_id, or have none, are told apart by their sets.
+    """
+    signed, _, least = _grouped(docs)
+    odd = stash(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd")), "odd")
+    kept = least.select(F.col("component_id").alias("_kept")).unionAll(signed.where("n_shingles = 0").select("doc_id")).where("_kept IS NOT NULL").distinct()
+    plain = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    if odd.isEmpty():
+        return plain
+    known = docs["doc_id"].cast("long").eqNullSafe(odd["_odd"])
+    rows = stash(_keyed(docs.join(odd, known, "left_semi")), "odd-rows")
+    chosen = least.select(F.col("component_id").alias("_first"), F.col("first_key").alias("_first_key"))
+    firsts = rows.join(chosen, rows["doc_id"].cast("long").eqNullSafe(chosen["_first"]) & (rows["_key"] == chosen["_first_key"]), "left_semi")
+    told = firsts.dropDuplicates(["doc_id", "_key"]).unionByName(rows.where("_key IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return plain.join(odd, plain["doc_id"].cast("long") == odd["_odd"], "left_anti").unionByName(told)

@@ -123,6 +123,17 @@ def test_near_duplicates_of_rows_without_an_id(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, False), (-1, 3, False), (-1, 3, False), (3, 3, True), (8, 3, False), (9, 9, True)]
 
 
+def test_keep_first_of_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (_words(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (None, c), (2, d), (3, _edited(rng, d, 0.01)), (3, e), (None, None), (None, ""), (4, ""), (4, ""), (5, _words(rng, 60))]
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, n long").withColumn("_extra", F.lit("x"))
+    kept = near_dedup.keep_first(df)
+    got = sorted(r.n for r in kept.collect())
+    assert kept.columns == df.columns and [n for n in got if n not in (1, 2, 3, 4)] == [0, 6, 8, 9, 10, 11, 12, 13]
+    assert sum(n in (1, 2) for n in got) == 1 and sum(n in (3, 4) for n in got) == 1
+
+
 def test_shingles():
     assert shingles.words_of("A\x0bB\x1cc\u00a0d É") == [b"a", "b\x1cc\u00a0d".encode(), "É".encode()]
     assert len(shingles.shingle_set("a b c d e f a b c d e")) == 6 + 1 - 1 and len(shingles.shingle_set("a b")) == 1
