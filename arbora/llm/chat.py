@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import only
+from .spans import scan
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 #: The role whose words are learnt; all else is masked.
@@ -22,15 +23,10 @@ def render(turns: Column) -> Column:
 
 def learnt_spans(turns: Column) -> Column:
     """array<struct<start, end>>: where the learnt role's texts, with their end marks, stand in render(turns); code points, end exclusive."""
-    none = F.expr("CAST(array() AS array<struct<start:long,end:long>>)")
-
-    def add(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.char_length(t["role"]) + len(OPEN) + len(MIDDLE)
-        end = start + F.char_length(t["text"]) + len(CLOSE)
-        own = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(t["role"] == LEARNT, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(turns, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    size = lambda t: (F.char_length(t["role"]) + F.char_length(t["text"]) + len(OPEN) + len(MIDDLE) + len(CLOSE)).cast("long")
+    ends = scan(F.transform(turns, size), lambda a, b: a + b)
+    learnt = F.filter(F.arrays_zip(ends.alias("end"), turns.alias("t")), lambda z: z["t"]["role"] == LEARNT)
+    return F.transform(learnt, lambda z: F.struct((z["end"] - F.char_length(z["t"]["text"]) - len(CLOSE)).alias("start"), z["end"].alias("end")))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -45,13 +41,13 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role, then text; a repeated row counts
     once; a null role or text counts as empty; rows with a null conv_id are
     left out, and so are conversations without a partner. Equal conversations
-    are all prompt and have empty completions. Texts are rendered whole; other
-    columns are ignored. The spans are what a completion's loss is taken on.
+    are all prompt and have empty completions. Texts, however long, are rendered
+    whole; an empty table gives no rows; other columns are ignored. The spans are what a completion's loss is taken on.
     """
     rows = only(conversations, "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL")
     side = rows.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        F.struct(F.pmod("conv_id", F.lit(2)).alias("side"), F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
+        F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"),
+        F.struct(F.col("conv_id").cast("long").bitwiseAND(F.lit(1).cast("long")).alias("side"), F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
     both = side.groupBy("pair_id").agg(F.array_sort(F.collect_set("t")).alias("t"))
     pairs = both.select("pair_id", F.filter("t", lambda t: t["side"] == 0).alias("a"), F.filter("t", lambda t: t["side"] == 1).alias("b")).where("size(a) > 0 AND size(b) > 0")

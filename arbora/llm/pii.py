@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import only
-from .spans import counted, joined, matches, spans
+from .spans import bound, counted, joined, matches, part, pieces, spans
 
 #: A match starts at the start of its run of characters or where the last match ended, which spares a long run a try at each of its places.
 PATTERNS = {
@@ -83,30 +83,36 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _scored(kind: str, text: Column, s: Column) -> Column:
-    lo = F.greatest(s["start"] - REACH, F.lit(0).cast("long"))
-    near = F.concat(F.substr(text, (lo + 1).cast("int"), (s["start"] - lo).cast("int")), F.lit(" "), F.substr(text, (s["end"] + 1).cast("int"), F.lit(REACH)))
+def _scored(kind: str, cut: Column, s: Column) -> Column:
+    near = F.concat(part(cut, F.greatest(s["start"] - REACH, F.lit(0).cast("long")), s["start"]), F.lit(" "), part(cut, s["end"], s["end"] + REACH))
     hit = F.translate(near, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(CONTEXT[kind])
     return F.least(F.lit(100), F.lit(SCORES[kind]) + F.when(hit, RAISE).otherwise(0))
 
 
 def _confirmed_spans(kind: str, pattern: str) -> Column:
-    text = F.col("text")
-    at = F.filter(spans(text, F.col(kind), pattern), lambda s: confirmed(kind, s["match"]))
-    return F.transform(at, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _scored(kind, text, s).alias("score")))
+    at = F.filter(spans(F.col("text"), F.col(kind), pattern), lambda s: confirmed(kind, s["match"]))
+    return F.transform(at, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _with_scores(found: Column) -> Column:
+    """The spans with their scores; the text is cut into pieces once, and only if it has spans."""
+    score = lambda cut, s: F.coalesce(*[F.when(s["kind"] == k, _scored(k, cut, s)) for k in PATTERNS])
+    each = lambda cut: F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(cut, s).alias("score")))
+    return bound(F.when(F.size(found) > 0, pieces(F.col("text"))).otherwise(F.expr("CAST(array() AS array<string>)")), each)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, spans) for every row of docs; spans have kind, start, end, score (percent), by kind as listed, then start.
 
-    Null texts count as empty; every text is searched whole. Repeated rows and
-    null ids come out as they come in, an empty table gives no rows, other
+    Null texts count as empty; every text, however long, is searched whole in
+    time near its length. Repeated rows and null ids come out as they come in, an empty table gives no rows, other
     columns are ignored.
     """
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(k) for k, p in SOUGHT.items()])
     each = [_confirmed_spans(kind, pattern) for kind, pattern in SOUGHT.items()]
-    return got.select("doc_id", F.concat(*each).alias("spans"))
+    found = got.select("doc_id", "text", F.concat(*each).alias("found"))
+    return found.select("doc_id", _with_scores(F.col("found")).alias("spans"))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:

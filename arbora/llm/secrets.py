@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, only
-from .spans import counted, joined, matches, spans
+from .shared import may_hold, new_path, only, stash
+from .spans import counted, joined, masked, matches, spans
 
 
 @dataclass(frozen=True)
@@ -57,27 +57,38 @@ class BlobLedger:
         self.spark, self.path = spark, path or new_path(spark, "ledger")
 
     def read(self) -> DataFrame:
-        """Rows (blob, rule, found); none if nothing was scanned yet."""
+        """Rows (blob, rule, found), in which two scans at a time may repeat a pair; none if nothing was scanned yet."""
         schema = f"blob string, rule string, found {_FOUND}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
+        if not self._exists():
+            return self.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (("blob", "string"), ("rule", "string"), ("found", _FOUND))])
         return self.spark.read.schema(schema).parquet(self.path)
 
+    def _exists(self) -> bool:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
-        """Scan what the ledger lacks of the texts of docs; the number of (blob, rule version) pairs read."""
-        texts = _texts(docs)
-        first = texts.groupBy("blob").agg(F.min("doc_id").alias("first"))
-        seen = self.read().where(F.col("rule").isin([r.id for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = first.join(seen, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
-        todo = todo.select(F.col("blob").alias("_blob"), "first", F.coalesce("seen", F.expr("CAST(array() AS array<string>)")).alias("seen"))
-        rows = texts.join(todo, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("_blob"))).select("blob", "text", "seen")
+        """Scan what the ledger lacks of the texts of docs; the number of (blob, rule version) pairs read.
+
+        Copies of a text are put together before the shuffle. Texts that the
+        ledger has by all rules don't meet it, but for the few that a filter of
+        the others lets through.
+        """
+        texts = _texts(docs).select("blob", "text")
+        none = F.expr("CAST(array() AS array<string>)")
+        if self._exists():
+            seen = self.read().where(F.col("rule").isin([r.id for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+            todo = texts.select("blob").distinct().join(seen, "blob", "left").select("blob", F.coalesce("seen", none).alias("seen"))
+            todo = stash(todo.where(F.size("seen") < len(rules)), "unseen")
+            rows = may_hold(texts, todo, "blob").where("may").groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+        else:
+            rows = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", none)
         got = rows.select("blob", "text", "seen", *[F.when(~F.array_contains("seen", r.id), matches(F.col("text"), r.pattern)).alias(r.kind) for r in rules])
         each = got.select("blob", *[F.when(F.col(r.kind).isNotNull(), _scan(F.col("text"), F.col(r.kind), r)).alias(r.kind) for r in rules])
-        long = each.select("blob", F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(r.kind).alias("found")) for r in rules])).alias("x")).select("blob", "x.*").where("found IS NOT NULL").dropDuplicates(["blob", "rule"])
-        before = self.read().count()
-        long.write.mode("append").parquet(self.path)
-        return self.read().count() - before
+        long = each.select("blob", F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(r.kind).alias("found")) for r in rules])).alias("x")).select("blob", "x.*").where("found IS NOT NULL")
+        read = Observation()
+        long.observe(read, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path)
+        return read.get["n"]
 
     def findings(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Rows (doc_id, spans) for all rows of docs; spans are kind, start, end by start, then by kind as listed."""
@@ -86,9 +97,13 @@ class BlobLedger:
         order = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.id, at[r.id])]), F.col("rule"))
         kind = F.split_part(F.col("rule"), F.lit("@"), F.lit(1))
         each = rows.select("blob", F.transform("found", lambda s: F.struct(s["start"].alias("start"), order.alias("k"), s["end"].alias("end"), kind.alias("kind"))).alias("s"))
-        blobs = each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+        # an array's places name its rule, so a set of arrays holds every pair once; texts without a finding are no rows here
+        blobs = stash(each.where(F.size("s") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("spans")), "found")
         paths = _texts(docs).select("doc_id", "blob")
-        return paths.join(blobs, "blob", "left").select("doc_id", "spans")
+        none = F.lit(None).cast(blobs.schema["spans"].dataType)
+        maybe = may_hold(paths, blobs, "blob")
+        met = maybe.where("may").join(blobs, "blob", "left").select("doc_id", "spans").unionAll(maybe.where("NOT may").select("doc_id", none.alias("spans")))
+        return met.select("doc_id", F.coalesce("spans", F.array().cast(blobs.schema["spans"].dataType)).alias("spans"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -119,24 +134,26 @@ def secret_report(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFram
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, mask: str = "[secret]") -> DataFrame:
     """docs, with every span of a secret in text replaced by mask; n_chars, if there is one, follows the new text.
 
-    Overlapping spans are replaced once. Columns, row count and null texts stay.
+    Overlapping spans are replaced once; a very long text is masked whole. All
+    columns, whatever their names, the row count and null texts stay; repeated
+    rows and null ids come out as they come in; an empty table gives no rows.
+    Rows whose text has no finding don't meet the join, but for the few that a
+    filter of the blobs with findings lets through.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.scan(docs)
     hit = ledger.read().where(F.col("rule").isin([r.id for r in RULES])).where(F.size("found") > 0)
-    blobs = hit.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("_found")).withColumnRenamed("blob", "_hit")
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    rows = rows.join(blobs, F.col("_blob") == F.col("_hit"), "left")
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text")))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.aggregate("_found", start, cut, tail))
-    out = rows.withColumn("text", text)
+    blobs = stash(hit.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found")), "hits")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # the row is kept whole in a struct, so that no name of its own can clash
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.sha2(whole, 256).alias("blob"))
+    maybe = may_hold(packed, blobs, "blob")
+    rows = maybe.where("may").join(blobs, "blob", "left").select("row", "found")
+    text = F.col("row.text")
+    changed = rows.where("found IS NOT NULL").select("row", masked(text.cast("string"), F.col("found"), mask).cast(docs.schema["text"].dataType).alias("new"))
+    same = rows.where("found IS NULL").select("row").unionAll(maybe.where("NOT may").select("row"))
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        new["n_chars"] = F.char_length("new").cast(docs.schema["n_chars"].dataType)
+    cell = lambda c: F.col("row").getField(c)
+    return same.select(*[cell(c).alias(c) for c in docs.columns]).unionAll(changed.select(*[new.get(c, cell(c)).alias(c) for c in docs.columns]))
