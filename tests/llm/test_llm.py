@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, round trips and held-out labels; nulls, empties, ties, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -161,26 +162,44 @@ def test_quality_on_held_out_labels(spark):
     assert got.where(F.col("kept") == (F.col("quality") == 1)).count() >= 0.97 * got.count()
 
 
-def test_topk_is_brute_force(spark):
+def test_topk_is_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(300, 16)) / 4
     v[250:] = v[0]  # ties
     rows = [(k, [float(x) for x in v[k]]) for k in range(300)]
-    rows += [(400, None), (450, [float("nan")] * 16), (500, [None] * 16), (550, []), (0, rows[0][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(400, None), (450, [float("nan")] * 16), (500, [None] * 16), (550, []), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("row", "b", "v", "score", "rank", "asks", "query_id")})
     w = np.floor(256 * v).astype(np.int64)
     want = set()
     for q in range(0, 300, 50):
         best = sorted((-int(w[q] @ w[d]), d) for d in range(300) if d != q)[:5]
         want |= {(q, r + 1, d, -s) for r, (s, d) in enumerate(best)}
     for block in (4096, 64):
-        topk.BLOCK = block
+        monkeypatch.setattr(topk, "BLOCK", block)
         assert {tuple(r) for r in topk.top_k(df, 5, 50).collect()} == want
-    topk.BLOCK = 4096
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id IN (50, 51)"), 5, 50).count() == 1
 
 
+def _plain_topk(rows, k, every):
+    out = []
+    for a, (q, v) in enumerate(rows):
+        if q % every == 0:
+            best = sorted((-sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(v, u, strict=False)), d) for b, (d, u) in enumerate(rows) if b != a)[:k]
+            out += [(q, r + 1, d, -s) for r, (s, d) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_of_repeated_ids_and_large_components(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    for scale, n in ((1.0, 120), (2e5, 60), (1e6, 60), (2e6, 40)):  # float32, and 2^53 to 2^62 and beyond
+        rows = [(int(rng.integers(0, 6)) * 25, [float(x) for x in rng.normal(size=rng.integers(14, 17)) * scale]) for _ in range(n)]
+        rows += rows[:3] * 2
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect()
+        assert sorted(tuple(r) for r in got) == _plain_topk(rows, 5, 50)
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(7)
     items = [_words(rng, rng.randrange(15, 40)) for _ in range(12)] + ["x y z q", None, ""]
