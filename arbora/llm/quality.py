@@ -10,6 +10,8 @@ words and word shapes; it then scores every whole text.
 
 from __future__ import annotations
 
+import itertools
+import operator
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import only, stash
 
-#: The bound on the sample that trains the scorer, taken by a hash of doc_id.
+#: The bound on the sample that trains the scorer, taken by a hash of doc_id and text.
 TRAIN_ROWS = 6000
+#: The bound on the sample's features together, which are some 50 MB; of very long texts fewer train.
+TRAIN_FEATURES = 4_000_000
 FEATURES = 1 << 15
 KEEP = 0.5
 GOOD, BAD, NONE = 1, -1, 0
@@ -42,90 +46,120 @@ _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 
 
+#: What a word's flags say of it.
+_ENDS, _STOPS, _MARK = 1, 2, 4
+
+
+class Words:
+    """A text's words, with their places, shapes and flags, which are looked up once a word."""
+
+    def __init__(self, text: str | None) -> None:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        self.raw, self.words = np.frombuffer(raw, dtype=np.uint8), raw.split()
+        self.lines = [x for x in raw.split(b"\n") if x.strip()]
+        self.codes = _codes(self.words)
+
+    def share(self, flag: int) -> float:
+        """The share of words that have a flag."""
+        return np.count_nonzero(self.codes & (flag << _FLAGS)) / len(self.words)
+
+
 def _between(x: float, bad_below: float, good_from: float, good_to: float, bad_above: float) -> int:
     return BAD if x < bad_below or x > bad_above else GOOD if good_from <= x <= good_to else NONE
 
 
-def _symbols(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    return _between(_SYMBOL[raw].mean(), -1, 0, 0.01, 0.05) if len(raw) >= 20 else NONE
+def _symbols(t: Words) -> int:
+    return _between(np.count_nonzero(_SYMBOL[t.raw]) / len(t.raw), -1, 0, 0.01, 0.05) if len(t.raw) >= 20 else NONE
 
 
-def _capitals(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    letters = np.count_nonzero(_LETTER[raw])
-    return _between(np.count_nonzero(_UPPER[raw]) / letters, -1, 0, 0.2, 0.4) if letters >= 20 else NONE
+def _capitals(t: Words) -> int:
+    letters = np.count_nonzero(_LETTER[t.raw])
+    return _between(np.count_nonzero(_UPPER[t.raw]) / letters, -1, 0, 0.2, 0.4) if letters >= 20 else NONE
 
 
-def _repeats(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    return _between(1 - len(set(lines)) / len(lines), -1, 0, 0.1, 0.3) if len(lines) >= 4 else NONE
+def _repeats(t: Words) -> int:
+    return _between(1 - len(set(t.lines)) / len(t.lines), -1, 0, 0.1, 0.3) if len(t.lines) >= 4 else NONE
 
 
-def _length(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    return BAD if not words else GOOD if len(words) >= 40 else NONE
+def _length(t: Words) -> int:
+    return BAD if not t.words else GOOD if len(t.words) >= 40 else NONE
 
 
-def _sentences(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    ends = sum(w[-1:] in (b".", b"!", b"?") for w in words)
-    return _between(ends / len(words), 0.01, 0.02, 0.3, 0.5) if len(words) >= 20 else NONE
+def _sentences(t: Words) -> int:
+    return _between(t.share(_ENDS), 0.01, 0.02, 0.3, 0.5) if len(t.words) >= 20 else NONE
 
 
-def _stop_words(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    return _between(sum(w.lower() in STOP_WORDS for w in words) / len(words), 0.04, 0.1, 1, 1) if len(words) >= 20 else NONE
+def _stop_words(t: Words) -> int:
+    return _between(t.share(_STOPS), 0.04, 0.1, 1, 1) if len(t.words) >= 20 else NONE
 
 
-def _bare_marks(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
+def _bare_marks(t: Words) -> int:
     """Words without any letter or digit."""
-    return _between(sum(not w.isalnum() and len(w) == 1 for w in words) / len(words), -1, 0, 0.03, 0.15) if len(words) >= 20 else NONE
+    return _between(t.share(_MARK), -1, 0, 0.03, 0.15) if len(t.words) >= 20 else NONE
 
 
-def _variety(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
-    return _between(len(set(words)) / len(words) ** 0.8, 0.5, 0.7, 99, 99) if len(words) >= 50 else NONE
+def _variety(t: Words) -> int:
+    return _between(len(set(t.words)) / len(t.words) ** 0.8, 0.5, 0.7, 99, 99) if len(t.words) >= 50 else NONE
 
 
-def _stutter(raw: np.ndarray, words: list[bytes], lines: list[bytes]) -> int:
+def _stutter(t: Words) -> int:
     """Words that repeat the word before them."""
-    return _between(sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), -1, 0, 0.05, 0.2) if len(words) >= 5 else NONE
+    return _between(sum(map(operator.eq, t.words, itertools.islice(t.words, 1, None))) / len(t.words), -1, 0, 0.05, 0.2) if len(t.words) >= 5 else NONE
 
 
-LABELLERS: tuple[Callable[[np.ndarray, list[bytes], list[bytes]], int], ...] = (_symbols, _capitals, _repeats, _length, _sentences, _stop_words, _bare_marks, _variety, _stutter)
+LABELLERS: tuple[Callable[[Words], int], ...] = (_symbols, _capitals, _repeats, _length, _sentences, _stop_words, _bare_marks, _variety, _stutter)
 
 
-def votes(text: str | None) -> list[int]:
+def votes(text: str | Words | None) -> list[int]:
     """Each labeller's vote on a whole text; a null text is an empty one."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
-    array = np.frombuffer(raw, dtype=np.uint8)
-    return [f(array, words, lines) for f in LABELLERS]
+    t = text if isinstance(text, Words) else Words(text)
+    return [f(t) for f in LABELLERS]
 
 
 _LOWER, _CAPS, _DIGITS = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
-_memo: dict[bytes, tuple[int, int]] = {}
+#: Words that are remembered with their codes; the memory is emptied when it is full.
+MEMO_WORDS = 200_000
+_memo: dict[bytes, int] = {}
+HALF = FEATURES // 2
 #: The shape of a word that repeats the word before it.
-_AGAIN = FEATURES // 2 + xxhash.xxh3_64_intdigest("again") % (FEATURES // 2)
+_AGAIN = HALF + xxhash.xxh3_64_intdigest("again") % HALF
+#: Where a code's flags begin: its shape's place comes first, then its word's.
+_BITS, _FLAGS = 15, 30
 
 
-def _places(word: bytes) -> tuple[int, int]:
+def _code(word: bytes) -> int:
     shape = _DIGITS.sub(b"0", _CAPS.sub(b"A", _LOWER.sub(b"a", word)))[:12]
-    return xxhash.xxh3_64_intdigest(b"w" + word.lower()) % (FEATURES // 2), FEATURES // 2 + xxhash.xxh3_64_intdigest(b"s" + shape) % (FEATURES // 2)
+    flags = _ENDS * (word[-1:] in (b".", b"!", b"?")) + _STOPS * (word.lower() in STOP_WORDS) + _MARK * (len(word) == 1 and not word.isalnum())
+    return HALF + xxhash.xxh3_64_intdigest(b"s" + shape) % HALF | xxhash.xxh3_64_intdigest(b"w" + word.lower()) % HALF << _BITS | flags << _FLAGS
+
+
+def _codes(words: list[bytes]) -> np.ndarray:
+    if len(_memo) > MEMO_WORDS:
+        _memo.clear()
+    try:
+        found = list(map(_memo.__getitem__, words))
+    except KeyError:
+        for w in set(words):
+            if w not in _memo:
+                _memo[w] = _code(w)
+        found = list(map(_memo.__getitem__, words))
+    return np.array(found, dtype=np.int64)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | Words | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a whole text's hashed words and word shapes; each half is scaled to length 1."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not words:
+    codes = (text if isinstance(text, Words) else Words(text)).codes
+    if not len(codes):
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    if len(_memo) > 200_000:
-        _memo.clear()
-    for w in set(words):
-        if w not in _memo:
-            _memo[w] = _places(w)
-    places = np.array([_memo[w] for w in words], dtype=np.int32)
-    places[1:, 1] = np.where(places[1:, 0] == places[:-1, 0], _AGAIN, places[1:, 1])
-    at, n = np.unique(places.ravel(), return_counts=True)
-    v = np.sqrt(n.astype(np.float32))
-    cut = np.searchsorted(at, FEATURES // 2)
+    word, shape = codes >> _BITS & HALF - 1, codes & FEATURES - 1
+    shape[1:][word[1:] == word[:-1]] = _AGAIN
+    n = np.bincount(np.concatenate([word, shape]), minlength=FEATURES)
+    at = np.nonzero(n)[0]
+    v = np.sqrt(n[at].astype(np.float32))
+    cut = np.searchsorted(at, HALF)
     for half in (slice(0, cut), slice(cut, None)):
         v[half] /= np.linalg.norm(v[half]) or 1
-    return at, v
+    return at.astype(np.int32), v
 
 
 def fit_labellers(patterns: list[tuple[list[int], int]], rounds: int = 100) -> tuple[np.ndarray, dict[tuple[int, ...], float], float]:
@@ -148,17 +182,23 @@ def fit_labellers(patterns: list[tuple[list[int], int]], rounds: int = 100) -> t
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, by Adagrad over the whole sample."""
+    """Logistic regression on posterior labels, by Adagrad over the whole sample; rows have at least one feature each."""
     w, b = np.zeros(FEATURES), 0.0
     if not rows:
-        return w, 3.0
-    at, v = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
-    row, y = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), np.array([r[2] for r in rows])
+        return w, b
+    size = np.array([len(r[0]) for r in rows])
+    at, v, y = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64), np.array([r[2] for r in rows])
+    begins = np.cumsum(size) - size
+    # the same entries by feature
+    order = np.argsort(at, kind="stable")
+    row, by_feature = np.repeat(np.arange(len(rows)), size)[order], v[order]
+    known, firsts = np.unique(at[order], return_index=True)
     gw, gb = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v * w[at], len(rows)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(v * w[at], begins) + b, -30, 30)))
         e = (p - y) / len(rows)
-        g = np.bincount(at, v * e[row], FEATURES) + decay * w
+        g = decay * w
+        g[known] += np.add.reduceat(by_feature * e[row], firsts)
         gw, gb = gw + g * g, gb + e.sum() ** 2
         w, b = w - 0.5 * g / np.sqrt(gw), b - 0.5 * e.sum() / np.sqrt(gb)
     return w, float(b)
@@ -179,32 +219,48 @@ def _rows(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame) -> tuple[QualityModel, DataFrame]:
-    """The model, and every row's (doc_id, pattern): all rows vote and count in the EM; a bounded sample trains the scorer."""
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t.as_py()) for t in batch.column(1)], pa.list_(pa.int8()))], ["doc_id", "pattern"])
-
-    voted = stash(_rows(docs).mapInArrow(vote, "doc_id long, pattern array<tinyint>"), "votes")
+def _sample(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """(places, values, votes) of the rows of the smallest hashes: TRAIN_ROWS rows with TRAIN_FEATURES features at most, but one at least."""
+    first = rows.select("h", F.size("at").alias("n")).orderBy("h").limit(TRAIN_ROWS).collect()
+    many = max(1, int(np.searchsorted(np.cumsum([r.n for r in first]), TRAIN_FEATURES, side="right")))
+    if not first:
+        return []
+    got = rows.where(F.col("h") <= first[:many][-1].h).limit(many).select("h", "at", "v", "pattern").toArrow()
+    columns = [got.column(c).combine_chunks() for c in ("at", "v", "pattern")]
+    lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in columns]
+    order = np.argsort(got.column("h").to_numpy(), kind="stable")
+    return [(*(x[o[k] : o[k + 1]] for o, x in lists[:2]), lists[2][1][lists[2][0][k] : lists[2][0][k + 1]].tolist()) for k in order]
+
+
+def fit(docs: DataFrame) -> QualityModel:
+    """The model: all rows vote and count in the EM; a bounded sample, by a hash of id and text, trains the scorer."""
+    n = docs.count()
+    below = F.lit(min(2**63 - 1, -(2**63) + int(2**64 * 0.9 * TRAIN_ROWS) // max(n, 1)))
+    rows = _rows(docs).withColumn("h", F.xxhash64(F.lit("train"), "doc_id", "text")).select("text", "h", (F.col("h") <= below).alias("chosen"))
+
+    def vote(everything: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                patterns, at, v = [], [], []
+                for text, chosen in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+                    t = Words(text.as_py())
+                    got = features(t) if (chosen or everything) and t.words else (None, None)
+                    patterns.append(votes(t))
+                    at.append(got[0])
+                    v.append(got[1])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(patterns, pa.list_(pa.int8())), pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], ["h", "pattern", "at", "v"])
+
+        return read
+
+    schema = "h long, pattern array<tinyint>, at array<int>, v array<float>"
+    voted = stash(rows.mapInArrow(vote(False), schema), "votes")
     counted = voted.groupBy("pattern").count().collect()
     table, posteriors, prior = fit_labellers(sorted((list(r[0]), r[1]) for r in counted))
-    n = sum(r[1] for r in counted)
-    share = min(1.0, 0.9 * TRAIN_ROWS / max(n, 1))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            got = [features(t) for t in texts]
-            good = [posteriors.get(tuple(votes(t)), prior) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32())), pa.array(good, pa.float64())], ["at", "v", "good"])
-
-    chosen = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = _rows(docs).where(chosen).select("text").mapInArrow(place, "at array<int>, v array<float>, good double").limit(TRAIN_ROWS).collect()
-    rows = [(np.array(r[0], dtype=np.int64), np.array(r[1], dtype=np.float32), r[2]) for r in sample]
-    rows.sort(key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))
-    weights, bias = fit_scorer([r for r in rows if len(r[0])])
-    return QualityModel(table, posteriors, prior, weights, bias), voted
+    sample = _sample(voted.where("at IS NOT NULL"))
+    if not sample and n:  # all rows with words share a few hashes: they are copies of a few rows
+        sample = _sample(stash(rows.where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").limit(TRAIN_ROWS).mapInArrow(vote(True), schema).where("at IS NOT NULL"), "votes"))
+    weights, bias = fit_scorer([(at, v, posteriors[tuple(p)]) for at, v, p in sample])
+    return QualityModel(table, posteriors, prior, weights, bias)
 
 
 def quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -212,9 +268,9 @@ def quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
     Null and empty texts score 0 and aren't kept. Repeated rows and null ids
     come out as they come in, an empty table gives no rows, other columns are
-    ignored.
+    ignored. Very long texts are read whole, by labellers and scorer.
     """
-    model, _ = fit(docs)
+    model = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +281,12 @@ def quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all of their columns."""
-    model, _ = fit(docs)
+    """The rows of docs that the classifier keeps, with all of their columns, whatever their names; see quality.
+
+    Rows with a null or empty text go; of repeated rows and rows with null ids
+    all stay or go alike; an empty table stays empty.
+    """
+    model = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from arbora.llm import chat, pii, secrets, spans
@@ -73,3 +76,76 @@ def test_spans_of_long_conversations(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", f"é{t + c * (t > 500)}") for c in (0, 1) for t in range(2000)]
     r = chat.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert r.prompt_turns == 501 and [r.rejected[s.start : s.end] for s in r.rejected_spans] == [f"é{t + 1}<|end|>\n" for t in range(501, 2000) if t % 2]
+
+
+def _plain_em(patterns):
+    """EM by loops over rows, one row at a time."""
+    from arbora.llm import quality as Q
+
+    n, m = len(patterns), len(Q.LABELLERS)
+    post = [0.05 if -1 in p else 0.95 for p in patterns]
+    for _ in range(100):
+        prior = (1 + sum(post)) / (2 + n)
+        p_bad = [[0.0, 0.0] for _ in range(m)]  # of a vote of bad, if a labeller votes: in bad texts, in good texts
+        for k in range(m):
+            for c in (0, 1):
+                weight = [w if c else 1 - w for w in post]
+                bad = 1 + Q.PRIOR_SHARE * n * Q.PRIOR[c][0] + sum(w for p, w in zip(patterns, weight, strict=True) if p[k] == -1)
+                good = 1 + Q.PRIOR_SHARE * n * Q.PRIOR[c][1] + sum(w for p, w in zip(patterns, weight, strict=True) if p[k] == 1)
+                p_bad[k][c] = bad / (bad + good)
+        new = []
+        for p in patterns:
+            bad, good = 1 - prior, prior
+            for k, x in enumerate(p):
+                if x:
+                    bad *= p_bad[k][0] if x == -1 else 1 - p_bad[k][0]
+                    good *= p_bad[k][1] if x == -1 else 1 - p_bad[k][1]
+            new.append(good / (good + bad))
+        if max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-9:
+            break
+        post = new
+    return post
+
+
+def test_quality_is_plain_em_and_regression(spark):
+    import os
+
+    from arbora.llm import quality as Q
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) <= 0.9 * Q.TRAIN_ROWS  # all rows train
+    post = _plain_em([Q.votes(r.text) for r in rows])
+    x = np.zeros((len(rows), Q.FEATURES))
+    for k, r in enumerate(rows):
+        at, v = Q.features(r.text)
+        x[k, at] = v
+    used = x.any(axis=1)
+    w, b, gw, gb, y = np.zeros(Q.FEATURES), 0.0, np.full(Q.FEATURES, 1e-8), 1e-8, np.array(post)[used]
+    for _ in range(300):
+        e = (1 / (1 + np.exp(-(x[used] @ w + b))) - y) / used.sum()
+        g = x[used].T @ e + 1e-4 * w
+        gw, gb = gw + g * g, gb + e.sum() ** 2
+        w, b = w - 0.5 * g / np.sqrt(gw), b - 0.5 * e.sum() / np.sqrt(gb)
+    want = {r.doc_id: 1 / (1 + np.exp(-(x[k] @ w + b))) if used[k] else 0.0 for k, r in enumerate(rows)}
+    got = {r.doc_id: r for r in Q.quality(docs).collect()}
+    assert set(got) == set(want) and all(abs(got[k].score - want[k]) < 1e-3 and (got[k].kept == (want[k] >= Q.KEEP) or abs(want[k] - Q.KEEP) < 1e-3) for k in want)
+
+
+def test_quality_of_many_rows_of_copies_and_of_long_texts(spark, monkeypatch):
+    from arbora.llm import quality as Q
+
+    rng = random.Random(3)
+    good = "the cat sat on a mat and was of the best of cats. " * 4 + "It is in the house with the dog."
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 2)  # as of very many rows, of which hardly any train: still the model is fitted to some
+    df = spark.createDataFrame([(1, good)] * 300, "doc_id long, text string")
+    assert len({(r.score, r.kept) for r in Q.quality(df).collect()}) == 1
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 6000)
+    monkeypatch.setattr(Q, "TRAIN_FEATURES", 500)
+    junk = lambda: " ".join(rng.choice(["$$$", "&&&", "@@", "##"]) + str(rng.randrange(99)) for _ in range(60))
+    rows = [(k, good if k % 2 else junk()) for k in range(40)] + [(100, good * 20000), (101, junk() * 3000), (102, None)]
+    got = {r.doc_id: r.kept for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] and not got[101] and not got[102] and sum(got[k] == bool(k % 2) for k in range(40)) >= 38
