@@ -46,22 +46,48 @@ _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 
 
-#: What a word's flags say of it.
+class Memo:
+    """What a function gives for words; the memory is emptied when it is full."""
+
+    def __init__(self, of: Callable[[bytes], int], most: int = 200_000) -> None:
+        self.of, self.most, self.known = of, most, {}
+
+    def get(self, word: bytes) -> int:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            found = self.known[word] = self.of(word)
+        return found
+
+    def all(self, words: list[bytes]) -> list[int]:
+        try:
+            return list(map(self.known.__getitem__, words))
+        except KeyError:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            for w in set(words).difference(self.known):
+                self.known[w] = self.of(w)
+            return list(map(self.known.__getitem__, words))
+
+
+#: What a word's flags say of it.
 _ENDS, _STOPS, _MARK = 1, 2, 4
+_flags = Memo(lambda word: _ENDS * (word[-1:] in (b".", b"!", b"?")) + _STOPS * (word.lower() in STOP_WORDS) + _MARK * (len(word) == 1 and not word.isalnum()))
 
 
 class Words:
-    """A text's words, with their places, shapes and flags, which are looked up once a word."""
+    """A text's words, with their flags."""
 
     def __init__(self, text: str | None) -> None:
         raw = (text or "").encode("utf-8", "surrogatepass")
         self.raw, self.words = np.frombuffer(raw, dtype=np.uint8), raw.split()
         self.lines = [x for x in raw.split(b"\n") if x.strip()]
-        self.codes = _codes(self.words)
+        self.flags = np.array(_flags.all(self.words), dtype=np.int8)
 
     def share(self, flag: int) -> float:
         """The share of words that have a flag."""
-        return np.count_nonzero(self.codes & (flag << _FLAGS)) / len(self.words)
+        return np.count_nonzero(self.flags & flag) / len(self.words)
 
 
 def _between(x: float, bad_below: float, good_from: float, good_to: float, bad_above: float) -> int:
@@ -117,40 +143,29 @@ def votes(text: str | Words | None) -> list[int]:
 
 
 _LOWER, _CAPS, _DIGITS = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
-#: Words that are remembered with their codes; the memory is emptied when it is full.
-MEMO_WORDS = 200_000
-_memo: dict[bytes, int] = {}
 HALF = FEATURES // 2
 #: The shape of a word that repeats the word before it.
 _AGAIN = HALF + xxhash.xxh3_64_intdigest("again") % HALF
-#: Where a code's flags begin: its shape's place comes first, then its word's.
-_BITS, _FLAGS = 15, 30
+#: A code has the place of the word's shape in its low bits, then that of the word.
+_BITS = 15
+_KINDS = bytes(97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in range(256))
 
 
-def _code(word: bytes) -> int:
-    shape = _DIGITS.sub(b"0", _CAPS.sub(b"A", _LOWER.sub(b"a", word)))[:12]
-    flags = _ENDS * (word[-1:] in (b".", b"!", b"?")) + _STOPS * (word.lower() in STOP_WORDS) + _MARK * (len(word) == 1 and not word.isalnum())
-    return HALF + xxhash.xxh3_64_intdigest(b"s" + shape) % HALF | xxhash.xxh3_64_intdigest(b"w" + word.lower()) % HALF << _BITS | flags << _FLAGS
+def _shape(kinds: bytes) -> int:
+    shape = _DIGITS.sub(b"0", _CAPS.sub(b"A", _LOWER.sub(b"a", kinds)))[:12]
+    return HALF + xxhash.xxh3_64_intdigest(b"s" + shape) % HALF
 
 
-def _codes(words: list[bytes]) -> np.ndarray:
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    try:
-        found = list(map(_memo.__getitem__, words))
-    except KeyError:
-        for w in set(words):
-            if w not in _memo:
-                _memo[w] = _code(w)
-        found = list(map(_memo.__getitem__, words))
-    return np.array(found, dtype=np.int64)
+_shapes = Memo(_shape)
+_codes = Memo(lambda word: _shapes.get(word.translate(_KINDS)) | xxhash.xxh3_64_intdigest(b"w" + word.lower()) % HALF << _BITS)
 
 
 def features(text: str | Words | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a whole text's hashed words and word shapes; each half is scaled to length 1."""
-    codes = (text if isinstance(text, Words) else Words(text)).codes
-    if not len(codes):
+    words = text.words if isinstance(text, Words) else (text or "").encode("utf-8", "surrogatepass").split()
+    if not words:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
+    codes = np.array(_codes.all(words), dtype=np.int64)
     word, shape = codes >> _BITS & HALF - 1, codes & FEATURES - 1
     shape[1:][word[1:] == word[:-1]] = _AGAIN
     n = np.bincount(np.concatenate([word, shape]), minlength=FEATURES)
