@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every 4-word sequence of an item is a seed. One pass over the documents finds
-where seeds occur, and each of them proposes its document and item: what an
-edit leaves of an item can be just its frequent phrases. Around the seeds the
-words that both have are counted, which bounds the score from above; where it
-can be high enough, the item is aligned with the surrounding words. The score is
-that of the best local alignment over that of a full copy.
+Every 3-word sequence of an item is a seed. One pass over the documents finds
+where seeds occur; a document and an item are a pair if they share two seeds,
+however frequent: what an edit leaves of an item can be just its frequent
+phrases, while one shared phrase of three words is mostly chance. Around the
+seeds the words that both have are counted, which bounds the score from above;
+where it can be high enough, the item is aligned with the surrounding words.
+The score is that of the best local alignment over that of a full copy.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from .shared import only, stash
 from .shingles import gram_hashes, word_hashes, words_of
 
-SEED_WORDS = 4
+SEED_WORDS = 3
+#: Distinct seeds that a pair shares at least; all of them, if an item has fewer.
+SHARED = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 #: An item of fewer words must be found whole.
 SHORT = 5
-#: Seeds that are sent to all executors at most (8 bytes each); more are joined by a shuffle.
+#: Seeds of items that are sent to all executors at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 _EDGE = b".,;:!?\"'()[]"
 
@@ -100,14 +103,42 @@ def _grams(text: str | None, lengths: list[int]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(grams), np.concatenate([np.arange(len(g)) for g in grams])
 
 
+class SeedTable:
+    """The seeds of all items, ascending, with their items' numbers and how many of its seeds each item needs."""
+
+    def __init__(self, seeds: np.ndarray, items: np.ndarray) -> None:
+        order = np.lexsort((items, seeds))
+        both = np.stack([seeds[order], items[order]])
+        first = np.ones(both.shape[1], dtype=bool)
+        first[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+        self.seeds, self.items = both[:, first]
+        self.need = np.minimum(SHARED, np.bincount(self.items, minlength=1))
+
+    def shared(self, grams: np.ndarray) -> np.ndarray:
+        """Places among grams of the seeds of items that the grams hold enough seeds of."""
+        held, inverse = np.unique(grams, return_inverse=True)
+        lo, hi = np.searchsorted(self.seeds, held, "left"), np.searchsorted(self.seeds, held, "right")
+        n = hi - lo
+        if not n.any():
+            return np.zeros(0, dtype=np.int64)
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        enough = np.bincount(self.items[at], minlength=len(self.need)) >= self.need
+        good = np.zeros(len(held), dtype=bool)
+        np.logical_or.at(good, np.repeat(np.arange(len(held)), n), enough[self.items[at]])
+        return np.nonzero(good[inverse])[0]
+
+
 def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, text, seeds, at): the rows of docs in which seeds occur, and where."""
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    distinct = seeds.select("seed").distinct()
     lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # SEED_WORDS values at most
-    known = distinct.limit(BROADCAST_SEEDS + 1).count()
-    few = known <= BROADCAST_SEEDS
-    wanted = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64)) if few else None)
+    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    table = None
+    if few:
+        got = seeds.select("seed", "item_id").toArrow()
+        numbers = np.unique(got.column("item_id").to_numpy(), return_inverse=True)[1]
+        table = SeedTable(got.column("seed").to_numpy(), numbers)
+    wanted = rows.sparkSession.sparkContext.broadcast(table)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = wanted.value
@@ -115,12 +146,7 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             take, found, places = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 g, p = _grams(text, lengths)
-                if sought is not None:
-                    if not len(sought) or not len(g):
-                        continue
-                    at = np.nonzero(sought[np.minimum(np.searchsorted(sought, g), len(sought) - 1)] == g)[0]
-                else:
-                    at = np.arange(len(g))
+                at = np.arange(len(g)) if sought is None else sought.shared(g)
                 if len(at):
                     take.append(k)
                     found.append(g[at])
@@ -135,17 +161,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
     Score: the best local alignment of words over a full copy's (six decimals);
     pairs from least on, and for items of fewer than five words only full
-    copies. A pair is found if it shares a run of four words (an item of fewer
-    words: a run of all of them). Words are lower-cased and lose the marks at their ends. Null and
-    empty texts and items hold nothing; a document row that is repeated gives
-    its pairs once; rows with null ids are left out; empty tables give no rows;
-    other columns are ignored. Whole documents are searched.
+    copies. A pair is found if it shares two distinct runs of three words (an
+    item with fewer: all of them). Words are lower-cased and lose the marks at
+    their ends. Null and empty texts and items hold nothing; a document row that
+    is repeated gives its pairs once; rows with null ids are left out; empty
+    tables give no rows; other columns are ignored. Whole documents are
+    searched, however long.
     """
     items = stash(_items(benchmark).where("item_id IS NOT NULL").dropDuplicates(["item_id"]), "items")
     seeds = stash(_seeds(items), "seeds")
     hits = stash(_hits(docs.where("doc_id IS NOT NULL"), seeds).withColumn("row", F.monotonically_increasing_id()), "hits")
     each = hits.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("x")).select("row", F.col("x.seeds").alias("seed"), F.col("x.at").alias("p"))
-    pairs = each.join(seeds, "seed").select("row", "item_id", (F.col("p") - F.col("j")).alias("d")).distinct().groupBy("row", "item_id").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    needs = seeds.select("seed", "item_id").distinct().groupBy("item_id").agg(F.least(F.lit(SHARED), F.count("*")).alias("need"))
+    met = each.join(seeds, "seed").select("row", "item_id", "seed", (F.col("p") - F.col("j")).alias("d")).distinct()
+    pairs = met.groupBy("row", "item_id").agg(F.array_sort(F.collect_set("d")).alias("d"), F.size(F.collect_set("seed")).alias("n")).join(needs, "item_id").where("n >= need")
     both = pairs.join(hits.select("row", "doc_id", "text"), "row").join(items, "item_id").select("doc_id", "item_id", "text", "item", "d")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +210,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all of their columns; rows with a null id stay."""
-    found = stash(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_leaks")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"] == found["_leaks"], "left_anti")
+    """The rows of docs that hold no benchmark item, with all of their columns, whatever their names; see contaminated.
+
+    Texts are known by 64-bit hashes, so that rows with null or repeated ids are
+    judged by their own texts; repeated rows stay or go alike; rows with null or
+    empty texts stay; empty tables drop nothing.
+    """
+    known = F.xxhash64(docs["`text`"].cast("string"))
+    texts = docs.select(known.alias("doc_id"), docs["`text`"].alias("text"))
+    found = stash(contaminated(texts, benchmark, least).select(F.col("doc_id").alias("_leaks")).distinct(), "leaks")
+    return docs.join(found, known == found["_leaks"], "left_anti")

@@ -217,31 +217,52 @@ def test_decontamination_is_brute_force(spark):
                 assert got[d, i] == pytest.approx(score, abs=1e-6)
             elif score < 0.5:
                 assert (d, i) not in got
-    clean = decontaminate.drop_contaminated(_docs(spark, texts), bench)
+    clean = decontaminate.drop_contaminated(_docs(spark, texts).withColumn("_leaks", F.lit("clash")), bench)
+    assert decontaminate.drop_contaminated(clean.limit(0), bench).count() == 0 and clean.columns == [*_docs(spark, texts).columns, "_leaks"]
+    unnamed = decontaminate.drop_contaminated(_docs(spark, texts).withColumn("doc_id", F.lit(None).cast("long")), bench)
+    assert unnamed.count() == clean.count()
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in got}
     assert decontaminate.contaminated(_docs(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_decontamination_finds_edited_copies_beside_full_ones(spark):
+def _edited_as(rng, words, share, kind):
+    out = []
+    for w in words:
+        k = kind if kind != "mixed" else rng.choice(("replace", "insert", "delete"))
+        hit = rng.random() < share
+        out += [f"e{rng.randrange(10**6)}"] * (hit and k != "delete") + [w] * (not hit or k == "insert")
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_recall_by_score_and_edit(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     rng = random.Random(21)
     items = [_words(rng, n) for n in (15, 20, 28, 38)]
     texts = [f"{_words(rng, 30)} {t} {_words(rng, 30)}" for t in items for _ in range(3)]
-    texts += [f"{_words(rng, 30)} {_edited(rng, t, share)} {_words(rng, 30)}" for t in items for share in (0.1, 0.2, 0.3) for _ in range(15)]
-    # words put in before every word of the first half, which holds no seed then
-    texts += [" ".join([*(f"x{k} {w}" for k, w in enumerate(t.split()[: len(t.split()) // 2])), *t.split()[len(t.split()) // 2 :]]) for t in items]
+    texts += [f"{_words(rng, 30)} {' '.join(t.split()[: len(t.split()) // 2])} {_words(rng, 30)}" for t in items for _ in range(12)]  # half of an item beside full copies
+    kinds = {}
+    for t in items:
+        for kind in ("replace", "insert", "delete", "mixed"):
+            for _ in range(60):
+                kinds[len(texts)] = kind
+                texts.append(" ".join([_words(rng, 12), *_edited_as(rng, t.split(), rng.uniform(0.02, 0.45), kind), _words(rng, 12)]))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(_docs(spark, texts), bench).collect()}
-    want, partly = {}, 0
+    hashed = [shingles.word_hashes(decontaminate.plain_words(t)) for t in items]
+    want, bands = {}, {}
     for d, t in enumerate(texts):
         w = shingles.word_hashes(decontaminate.plain_words(t))
-        for i, item in enumerate(items):
-            h = shingles.word_hashes(decontaminate.plain_words(item))
-            common = np.isin(shingles.gram_hashes(w, 4), shingles.gram_hashes(h, 4)).sum()
+        for i, h in enumerate(hashed):
             score = decontaminate.align(w, h)[0] / (2 * len(h))
-            if score >= decontaminate.LEAST and common:
-                want[d, i] = pytest.approx(score, abs=1e-6)
-                partly += common * 2 < len(h) - 3
-    assert got == want and partly > 30
+            if score >= decontaminate.LEAST:
+                want[d, i] = score
+                for band in ((kinds.get(d), None), (None, min(int(score * 10), 9))):
+                    bands.setdefault(band, []).append((d, i) in got)
+    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
+    assert all(sum(x) >= 0.9 * len(x) for x in bands.values()) and len(bands) == 10, {k: sum(x) / len(x) for k, x in bands.items()}
+    assert all((d, i) in got for d, i in want if d not in kinds) and sum(d not in kinds for d, _ in want) == 12 + 36
 
 
 def test_decontamination_finds_short_items_in_long_documents(spark):
