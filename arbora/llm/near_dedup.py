@@ -10,8 +10,10 @@ the same most central node (the hub) form one cluster. A cluster of more than
 one block is first joined with its hub: nodes that the full sets link with the
 hub are in one component already and needn't meet each other. What the hub
 doesn't reach (the rest) meets itself and the others in cells of two blocks, so
-that no task holds a cluster whole: a group of n near copies of which r are out
-of the hub's reach costs n spokes and about n * r / BLOCK_NODES rows of cells.
+that no task holds a cluster whole. A cluster of more than CELL_BLOCKS blocks of
+which some are out of the hub's reach is clustered anew, by its rarest shingles:
+texts that share a passage, but are no near copies, fall out there at a cost in
+proportion to their shingles, and what is left has hubs nearer by.
 A cell counts the collisions of its nodes, skips nodes that are joined already,
 confirms counts of at least ``MATCHES`` on the full sets and emits a spanning
 forest.
@@ -42,6 +44,8 @@ PERCENT = 75
 #: Nodes and shingles of a block; a cell has two blocks at most.
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 1_000_000
+#: Blocks of a cluster up to which all of its blocks meet in cells.
+CELL_BLOCKS = 8
 
 
 #: Bits of the filter that tells most documents that take part from the rest: its size is fixed, more documents only blur it.
@@ -107,24 +111,78 @@ def spokes(large: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("hub", "key", "n_shingles", "shingles", "centre").mapInArrow(confirm, "hub long, key long, n_shingles long, near boolean")
 
 
-def cells(spoken: DataFrame) -> DataFrame:
-    """Deal large clusters (hub, key, n_shingles, near) out as rows (hub, i, j, key, near).
+def cells(met: DataFrame) -> DataFrame:
+    """Deal large clusters (hub, key, near, and the blocks r of the rest and l of the others) out as rows (hub, i, j, key, near).
 
     The rest of a cluster fills the blocks from 0 to r - 1, the nodes near the
     hub those from r on; there is a cell for each two blocks of which one is of
     the rest. The hub is near itself, so every block of the rest has a partner,
     and meets itself there.
     """
-    filled = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-    counted = spoken.groupBy("hub", "near").agg(filled.alias("n")).groupBy("hub").agg(F.sum(F.when(~F.col("near"), F.col("n"))).alias("r"), F.sum(F.when(F.col("near"), F.col("n"))).alias("l"))
-    # written first, so that the join's both sides are shuffled for it and a hot hub can be split; a cluster without a rest has no cells
-    dealt = spoken.join(stash(counted.where("r > 0"), "blocks"), "hub")
     own = F.when(F.col("near"), F.col("r") + F.pmod(F.xxhash64("key"), F.col("l"))).otherwise(F.pmod(F.xxhash64("key"), F.col("r")))
     last = F.when(F.col("near"), F.col("r")).otherwise(F.col("r") + F.col("l")) - 1
-    each = dealt.select("hub", "key", "near", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")).where("own <> other")
+    each = met.select("hub", "key", "near", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")).where("own <> other")
     return each.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "near")
 
 
+def shingle_posts(wide: DataFrame, sets: DataFrame) -> DataFrame:
+    """The posts (token, key, shared) of the nodes of wide clusters (hub, key, near) under their rarest shingles.
+
+    Of two linked sets the smaller shares 6/7 of its shingles and the larger 3/4
+    with the other. So a node with fewer shingles that its cluster's rest has too
+    is out, and the others meet where a token is in the shorter prefix of one
+    and in the longer one of the other. Texts that share a passage, but too
+    little of themselves, are all out here, however many they are.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3)
+            flat = [np.frombuffer(x.as_py(), dtype=np.int64) for x in raw]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["hub", "key", "near", "all"])
+
+    rows = wide.join(sets.select("key", "shingles"), "key").select("hub", "key", "near", "shingles").mapInArrow(spread, "hub long, key long, near boolean, all array<long>")
+    tokens = rows.select("hub", "key", "near", F.size("all").cast("long").alias("n"), F.explode("all").alias("shingle")).withColumn("token", F.xxhash64("hub", "shingle"))
+    # only what the rest has counts, since two nodes near the hub needn't meet; written first, so that a hot shingle's join can be split
+    common = stash(tokens.groupBy("token").agg(F.count("*").alias("df"), F.max(~F.col("near")).alias("rest")).where("df > 1 AND rest").select("token", "df"), "shingles")
+    shared = tokens.join(common, "token").groupBy("hub", "key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("got"))
+    smaller, larger = (f"CAST(size(got) AS BIGINT) - (n * {2 * PERCENT // 25} + {(100 + PERCENT) // 25 - 1}) div {(100 + PERCENT) // 25} + 1", f"CAST(size(got) AS BIGINT) - (n * {PERCENT} + 99) div 100 + 1")
+    kept = shared.select("key", F.size("got").alias("shared"), "got", F.expr(smaller).alias("short"), F.expr(larger).alias("long")).where("long > 0")
+    posts = stash(kept.select("key", "shared", "short", F.posexplode(F.slice("got", F.lit(1), F.col("long").cast("int"))).alias("at", "x")).select(F.col("x.token").alias("token"), "key", "shared", (F.col("at") < F.col("short")).alias("first")), "posts")
+    lists = stash(posts.groupBy("token").agg(F.count("*").alias("n"), F.max("first").alias("first")).where("n > 1 AND first").select("token"), "lists")
+    return posts.join(lists, "token", "left_semi").select("token", "key", "shared")
+
+
+def meetings(members: DataFrame, sets: DataFrame, deeper: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The cells' rows (hub, i, j, key, near) of clusters (hub, key, n_shingles), and the links (a, b) of nodes near a hub.
+
+    Clusters of one block are a cell. Of others the nodes near the hub are
+    linked first. What is left of a cluster of more than CELL_BLOCKS blocks is
+    clustered anew by its rarest shingles, and those clusters are met like the
+    first, once.
+    """
+    filled = stash(blocks(members), "filled")
+    zero = F.lit(0).cast("long")
+    small = members.join(filled.where("blocks = 1"), "hub", "left_semi").select("hub", zero.alias("i"), zero.alias("j"), "key", F.lit(False).alias("near"))
+    large = members.join(filled.where("blocks > 1"), "hub", "left_semi").select("hub", "key", "n_shingles")
+    spoken = stash(spokes(large, sets), "spokes")
+    links = spoken.where("near").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    counted = spoken.groupBy("hub", "near").agg(size.alias("n")).groupBy("hub").agg(F.sum(F.when(~F.col("near"), F.col("n"))).alias("r"), F.sum(F.when(F.col("near"), F.col("n"))).alias("l"))
+    # written first, so that the join's both sides are shuffled for it and a hot hub can be split; a cluster without a rest has no cells
+    met = spoken.join(stash(counted.where("r > 0"), "blocks"), "hub")
+    if not deeper:
+        return small.unionAll(cells(met)), links
+    rows = small.unionAll(cells(met.where(F.col("r") + F.col("l") <= CELL_BLOCKS)))
+    wide = stash(met.where(F.col("r") + F.col("l") > CELL_BLOCKS).select("hub", "key", "n_shingles", "near"), "wide")
+    if wide.isEmpty():
+        return rows, links
+    again = clusters(shingle_posts(wide, sets)).join(wide.select("key", "n_shingles").distinct(), "key")
+    more, joined = meetings(stash(again, "clusters"), sets, False)
+    return rows.unionByName(more), links.unionAll(joined)
+
+
 def forest(keys: list[int], sets: list[np.ndarray], signed: np.ndarray, near: np.ndarray, matches: int = MATCHES, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join the nodes as all confirmed pairs would, if those that are near are joined beforehand: a spanning forest of the rest of the links."""
     n = len(keys)
@@ -225,8 +283,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null, has n_shingles 0, is linked with nothing and is kept. Repeated rows
     come out as often as they come in. Rows with a null doc_id count as texts;
     in a component of their own they have a null component_id and aren't kept.
-    Other columns of docs are ignored. Sets and shingles are
-    known by 64-bit hashes.
+    An empty table gives no rows; other columns of docs are ignored. Very long
+    texts are read whole. Sets and shingles are known by 64-bit hashes.
     """
     signed, named, least = _grouped(docs)
     classes = stash(named.join(least, "root").select("key", "component_id"), "classes")
@@ -246,13 +304,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = stash(clusters(posts).join(nodes, "key"), "clusters")
     # rows that are repeated, or have no id, can give a set many times; a cell gets it once
     sets = stash(_full_sets(docs, members.select("doc_id").distinct()).groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "sets")
-    filled = stash(blocks(members), "filled")
-    zero = F.lit(0).cast("long")
-    small = members.join(filled.where("blocks = 1"), "hub", "left_semi").select("hub", zero.alias("i"), zero.alias("j"), "key", F.lit(False).alias("near"))
-    large = members.join(filled.where("blocks > 1"), "hub", "left_semi").select("hub", "key", "n_shingles")
-    spoken = stash(spokes(large, sets), "spokes")
-    links = _links(small.unionAll(cells(spoken)).join(sets, "key"))
-    roots = components(links.unionAll(spoken.where("near").select(F.col("hub").alias("a"), F.col("key").alias("b"))), "links")
+    rows, spoken = meetings(members, sets)
+    roots = components(_links(rows.join(sets, "key")).unionAll(spoken), "links")
     named = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # both written first, so that the join's both sides are shuffled for it and a hot component can be split
     named = stash(named, "named")
@@ -278,7 +331,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, of its smallest doc_id (all of its columns stay), and all rows without words.
 
     A group whose rows all have a null doc_id keeps one of them. Rows that share
-    a doc_id, or have none, are told apart by their sets.
+    a doc_id, or have none, are told apart by their sets. Very long texts are
+    read whole; columns of any names stay; an empty table stays empty.
     """
     signed, _, least = _grouped(docs)
     odd = stash(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd")), "odd")

@@ -93,6 +93,30 @@ def test_near_duplicates_out_of_the_hubs_reach(spark, monkeypatch):
     assert len(sets) * 5 < linked < len(sets) ** 2 / 2
 
 
+def test_near_misses_fall_out_by_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 8)
+    monkeypatch.setattr(near_dedup, "CELL_BLOCKS", 3)
+    rng = random.Random(41)
+    passage, other = _words(rng, 120), _words(rng, 90)
+    # one passage in all of them, similarity about 0.6; some of them have near copies, which only they reach
+    misses = [f"{passage} {_words(rng, 40)}" for _ in range(150)] + [f"{passage} {other}" for _ in range(2)]
+    texts = misses + [_edited(rng, t, 0.01) for t in misses[:20]] + [f"{passage} {_words(rng, 20)} {other}" for _ in range(30)]
+    # texts of many sizes that hold each other: a run that grows by a word at a time
+    run = f"{passage} {_words(rng, 100)}".split(" ")
+    texts += [" ".join(run[:n]) for n in range(110, 220, 3)]
+    rng.shuffle(texts)
+    sets = [shingles.shingle_set(t) for t in texts]
+    want = _components(sets)
+    dealt = []
+    walk = near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda rows: dealt.append(rows.count()) or walk(rows))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(_docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) > 120
+    monkeypatch.setattr(near_dedup, "CELL_BLOCKS", 10**9)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(_docs(spark, texts)).collect()} == got
+    assert dealt[0] < 3 * len(texts) < dealt[1]
+
+
 def test_a_forest_skips_what_the_hub_has_joined():
     rng = np.random.default_rng(1)
     base = np.sort(rng.choice(1 << 40, 100, replace=False)).astype(np.uint64)
