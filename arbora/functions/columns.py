@@ -85,14 +85,26 @@ def tile_origin(name: Column) -> Column:
     return F.when(base.rlike(pattern), F.struct(part(1).alias("x"), part(2).alias("y")))
 
 
-def legacy_tile_name(x: Column, y: Column, size: Column, overlap: Column, kind: str = "image") -> Column:
-    """An indexed name with four-digit places, for caches of earlier runs."""
-    return F.format_string(f"{kind}_%04d_%04d_%d_%d.png", x.cast("int"), y.cast("int"), size.cast("int"), overlap.cast("int"))
+def legacy_tile_name(index: Column, x: Column, y: Column, overlap: Column, kind: str = "png") -> Column:
+    """The name of a tile's file in caches of earlier runs: its number, place and overlap."""
+    return F.format_string(f"tile_%04d_x%d_y%d_overlap%d.{kind}", index.cast("long"), x.cast("long"), y.cast("long"), overlap.cast("long"))
+
+
+def legacy_tile(name: Column) -> Column:
+    """struct<index, x, y, overlap> of such a name; null for others."""
+    base = F.regexp_extract(name, r"([^/\\]*)$", 1)
+    pattern = r"^tile_(\d+)_x(-?\d+)_y(-?\d+)_overlap(\d+)\.(?:png|npz)$"
+    parts = [F.regexp_extract(base, pattern, k).cast("long").alias(n) for k, n in enumerate(("index", "x", "y", "overlap"), 1)]
+    return F.when(base.rlike(pattern), F.struct(*parts))
+
+
+#: How a file's name tells a UTM zone.
+ZONE_NAME = r"utm(\d{1,2})([ns])"
 
 
 def utm_zone(stem: Column) -> Column:
     """struct<zone, north> from utm<1-60><n|s> anywhere in a name's stem, else null."""
-    pattern = r"utm(\d{1,2})([ns])"
+    pattern = ZONE_NAME
     low = F.lower(F.regexp_replace(F.regexp_extract(stem, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))
     zone = F.regexp_extract(low, pattern, 1).try_cast("int")
     return F.when(zone.between(1, 60), F.struct(zone.alias("zone"), (F.regexp_extract(low, pattern, 2) == "n").alias("north")))
@@ -214,5 +226,5 @@ def parse_point(text: str) -> tuple[float, float]:
 
 def zone_of_name(stem: str) -> tuple[int, bool] | None:
     """utm_zone on the driver."""
-    m = re.search(r"utm(\d{1,2})([ns])", stem.lower())
+    m = re.search(ZONE_NAME, stem.lower())
     return (int(m[1]), m[2] == "n") if m and 1 <= int(m[1]) <= 60 else None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staged import staged
+from .staged import staged, staged_at
 
 
 def confident(df: DataFrame, group: str, score: str, threshold: float, fallback: bool = True, order: str = "ord") -> DataFrame:
@@ -64,36 +64,47 @@ def overlaps(boxes: DataFrame, threshold: float, cell: float) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """df with rank from 1 in a total order, counted over sorted ranges: no task orders the whole table."""
+    """df with rank from 1 in a total order: ranges are sorted one by one and rows numbered where they lie, so there is one shuffle and no task orders the whole table."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = staged(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    place = 1 << 33  # an id is the partition's number times this, plus the row's in it
+    dealt = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_p", F.expr(f"_id div {place}"))
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return dealt.withColumn("_r", within).join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_q", "_r", "_before")
+    return dealt.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("rank", F.col("_id") % place + 1 + F.col("_before")).drop("_id", "_p", "_q", "_before")
 
 
-def suppress(boxes: DataFrame, threshold: float, cell: float, order: str = "ord") -> DataFrame:
+def cell_size(boxes: DataFrame) -> float:
+    """A side that most boxes fit in: the 0.9 quantile of their longer sides, at least 1."""
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return max(1.0, float(boxes.agg(F.percentile_approx(side, 0.9)).first()[0] or 1.0))
+
+
+def suppress(boxes: DataFrame, threshold: float, cell: float | None = None, order: str = "ord") -> DataFrame:
     """The boxes that greedy non-maximum suppression keeps, with rank by score, then order.
 
     In each round a box without an undecided better neighbour is kept and its
     neighbours go, which gives what visiting the boxes one by one gives. The
-    rounds are as many as the longest chain of overlaps decides one by one.
+    rounds are as many as the longest chain of overlaps decides one by one; what
+    each one writes is read together at the end.
     """
     rows = staged(ranked(boxes, F.desc("score"), F.asc(order)))
-    edges = staged(overlaps(rows, threshold, cell).select("hi", "lo"))
-    gone = None
+    edges = staged(overlaps(rows, threshold, cell or cell_size(rows)).select("hi", "lo"))
+    gone: list[str] = []
     while True:
         blocked = edges.select(F.col("lo").alias("r")).distinct()
         keep = edges.select(F.col("hi").alias("r")).distinct().join(blocked, "r", "left_anti")
-        out = staged(edges.join(keep, edges["hi"] == keep["r"], "left_semi").select(F.col("lo").alias("r")).distinct())
+        path = staged_at(edges.join(keep, edges["hi"] == keep["r"], "left_semi").select(F.col("lo").alias("r")).distinct())
+        out = rows.sparkSession.read.schema("r long").parquet(path)
         if out.isEmpty():
             break
-        gone = out if gone is None else gone.unionAll(out)
+        gone.append(path)
         left = edges.join(out, edges["hi"] == out["r"], "left_anti")
         edges = staged(left.join(out, left["lo"] == out["r"], "left_anti"))
-    return rows if gone is None else rows.join(gone.withColumnRenamed("r", "rank"), "rank", "left_anti")
+    if not gone:
+        return rows
+    return rows.join(rows.sparkSession.read.schema("r long").parquet(*gone).withColumnRenamed("r", "rank"), "rank", "left_anti")
 
 
 def match(edges: DataFrame) -> DataFrame:
@@ -105,15 +116,17 @@ def match(edges: DataFrame) -> DataFrame:
     """
     first = F.struct((-F.col("score")).alias("s"), "mask_area", "label_id", "tree_index")
     left = staged(edges.select("tree_index", "label_id", "score", "mask_area").distinct())
-    taken = None
+    taken: list[str] = []
+    read = left.sparkSession.read
     while True:
         trees = left.groupBy("tree_index").agg(F.min(first).alias("e"))
         labels = left.groupBy("label_id").agg(F.min(first).alias("f"))
         both = trees.join(labels, F.col("e.label_id") == F.col("label_id")).where(F.col("e") == F.col("f"))
-        now = staged(both.select("tree_index", "label_id", (-F.col("e.s")).alias("score"), F.col("e.mask_area").alias("mask_area")))
+        now = both.select("tree_index", "label_id", (-F.col("e.s")).alias("score"), F.col("e.mask_area").alias("mask_area"))
+        taken.append(staged_at(now))
+        now = read.schema(now.schema).parquet(taken[-1])
         if now.isEmpty():
-            return now if taken is None else taken
-        taken = now if taken is None else taken.unionAll(now)
+            return read.schema(now.schema).parquet(*taken)
         rest = left.join(now.select("tree_index"), "tree_index", "left_anti")
         left = staged(rest.join(now.select("label_id"), "label_id", "left_anti"))
 
@@ -138,6 +151,12 @@ def match_summary(trees: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("total", "covered", (F.col("total") - F.col("covered")).alias("uncovered"), "matched", (F.col("total") - F.col("matched")).alias("unmatched"), spare.alias("unmatched_labels"), rate.alias("match_rate"), F.col("matched").alias("tp"), spare.alias("fp"), (F.col("total") - F.col("matched")).alias("fn"))
 
 
+def per_tile(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Every tile with the number of its detections, 0 where it has none."""
+    counts = found.groupBy("tile_id").agg(F.count("*").alias("n"))
+    return tiles.join(counts, "tile_id", "left").withColumn("count", F.coalesce("n", F.lit(0))).drop("n")
+
+
 def confidence_summary(df: DataFrame, score: str = "score") -> DataFrame:
     """n, least, mean and greatest confidence."""
     return df.agg(F.count(score).alias("n"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.max(score).alias("greatest"))

@@ -8,9 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .detections import ranked
 from ..functions.columns import dbh_cm, first_present, parse_number, species_name, status_is, text_or_empty, title_case
 
 
+#: English names of species.
+ENGLISH_NAMES = {
+    "Abies alba": "silver fir",
+    "Acer campestre": "field maple",
+    "Acer platanoides": "Norway maple",
+    "Acer pseudoplatanus": "sycamore maple",
+    "Aesculus hippocastanum": "horse chestnut",
+    "Alnus glutinose": "black alder",
+    "Betula": "birch",
+    "Carpinus betulus": "European hornbeam",
+    "Fagus sylvatica": "European beech",
+    "Fraxinus excelsior": "European ash",
+    "Juglans regia": "English walnut",
+    "Larix decidua": "European larch",
+    "Picea abies": "Norway spruce",
+    "Pinus sylvestris": "Scots pine",
+    "Populus": "poplar",
+    "Populus tremula": "European aspen",
+    "Prunus avium": "wild cherry",
+    "Pseudotsuga menziesii": "Douglas fir",
+    "Quercus": "oak",
+    "Quercus rubra": "northern red oak",
+    "Salix": "willow",
+    "Sorbus aria": "whitebeam",
+    "Sorbus aucuparia": "rowan",
+    "Sorbus torminalis": "wild service tree",
+    "Thuja plicata": "western red cedar",
+    "Tilia": "lime",
+    "Ulmus glabra": "wych elm",
+    "Unidentified broadleaf": "unidentified broadleaf",
+    "Unidentified conifer": "unidentified conifer",
+    "(missing)": "(missing)",
+}
+
+
 def field(df: DataFrame, name: str, exact: bool = True) -> Column:
     """A column by name, or empty text if there is none; not exact: in any case."""
     for c in df.columns:
@@ -68,6 +104,11 @@ def deduplicate(trees: DataFrame, key: str = "tree_id", size: str = "dbh_cm", or
     return trees.where(~blank).withColumn("_r", best).where("_r = 1").drop("_r").unionByName(trees.where(blank))
 
 
+def in_id_order(trees: DataFrame, *places: str) -> DataFrame:
+    """Trees whose ord is their rank by id, then by places: what later ties go by after duplicates have gone."""
+    return ranked(trees.drop("ord"), F.asc("tree_id"), *[F.asc(p) for p in places]).withColumnRenamed("rank", "ord")
+
+
 def summarise(df: DataFrame, species: str, tree: str, stem: str, english: Mapping[str, str] | None = None, limit: int = 0) -> DataFrame:
     """Per species: records, distinct trees and stems (blanks don't count), share of all records in percent, English name.
 

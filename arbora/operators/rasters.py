@@ -6,7 +6,6 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import gray, minmax_byte
@@ -31,20 +30,19 @@ class GridSpec:
 
 def grid_spec(x_min: float, x_max: float, y_min: float, y_max: float, resolution: float | None = None, width: int | None = None, height: int | None = None) -> GridSpec:
     """A grid over an extent by cell size (0.5 if nothing is given) or by width, height or both; raises ValueError for both kinds and for an extent without area."""
-    if resolution is not None and (width is not None or height is not None):
-        raise ValueError("give a resolution or a width and height, not both")
-    xr, yr = x_max - x_min, y_max - y_min
-    if not (xr > 0 and yr > 0):
+    sized = [v for v in (width, height) if v is not None]
+    if sized and resolution is not None:
+        raise ValueError("a grid has either cells of a resolution or a number of them, not both")
+    if any(v <= 0 for v in sized) or resolution is not None and resolution <= 0:
+        raise ValueError("a grid's resolution, width and height must be above 0")
+    wide, tall = x_max - x_min, y_max - y_min
+    if not (wide > 0 and tall > 0):
         raise ValueError("the points cover no area")
-    if width is not None or height is not None:
-        if min(x for x in (width, height) if x is not None) <= 0:
-            raise ValueError("width and height must be positive")
-        resolution = max(xr / width, yr / height) if width and height else xr / width if width else yr / height
-        return GridSpec(x_min, y_min, resolution, width or math.ceil(xr / resolution), height or math.ceil(yr / resolution))
-    resolution = 0.5 if resolution is None else resolution
-    if resolution <= 0:
-        raise ValueError("the resolution must be positive")
-    return GridSpec(x_min, y_min, resolution, math.ceil(xr / resolution), math.ceil(yr / resolution))
+    if sized:
+        resolution = max(span / n for span, n in ((wide, width), (tall, height)) if n is not None)
+    elif resolution is None:
+        resolution = 0.5
+    return GridSpec(x_min, y_min, resolution, width or math.ceil(wide / resolution), height or math.ceil(tall / resolution))
 
 
 METHODS = {"max": F.max, "mean": F.avg, "median": F.median}
@@ -113,8 +111,3 @@ def crop(pixels: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
     """The pixels of a half-open window, by its own places."""
     inside = pixels.where(F.col("col").between(x0, x1 - 1) & F.col("row").between(y0, y1 - 1))
     return inside.withColumn("col", F.col("col") - x0).withColumn("row", F.col("row") - y0)
-
-
-def grouped_rank(df: DataFrame, group: str, *order: Column) -> DataFrame:
-    """df with r, a row's place in its group from 0."""
-    return df.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)

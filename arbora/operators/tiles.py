@@ -35,12 +35,13 @@ class Grid:
     def tall(self) -> int:
         return self.size_y or self.size
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """tile_id, x0, y0, x1, y1 of all tiles; ends are cut to the image."""
+    def frame(self, spark: SparkSession, start: tuple[int, int] = (0, 0), most: int | None = None) -> DataFrame:
+        """tile_id, x0, y0, x1, y1 of all tiles, ends cut to the image; from a place in whole tiles on, and the first so many in scan order."""
         step, tall = self.size - self.overlap, self.tall - self.overlap
-        cols, rows = -(-self.width // step), -(-self.height // tall)
-        i = spark.range(max(0, cols) * max(0, rows))
-        x0, y0 = (F.col("id") % max(cols, 1)) * step, F.floor(F.col("id") / max(cols, 1)) * tall
+        left, top = start[0] * self.size, start[1] * self.tall
+        cols, rows = max(0, -(-(self.width - left) // step)), max(0, -(-(self.height - top) // tall))
+        i = spark.range(cols * rows if most is None else min(cols * rows, max(0, most)))
+        x0, y0 = (F.col("id") % max(cols, 1)) * step + left, F.floor(F.col("id") / max(cols, 1)) * tall + top
         return self._ends(i.select(x0.cast("int").alias("x0"), y0.cast("int").alias("y0")))
 
     def _ends(self, df: DataFrame) -> DataFrame:

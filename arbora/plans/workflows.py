@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import Crown, round_even
+from ..functions import drawing
+from ..functions import pixels as rasters
+from ..functions.columns import Crown, legacy_tile, legacy_tile_name, round_even, tile_id, tile_origin
 from ..functions.geodesy import metres_to_pixels, offset, origin_wgs84, to_raster, world_to_pixel
 from ..operators import detections as D
 from ..operators import inventory as I
@@ -22,7 +24,7 @@ from ..operators import rasters as R
 from ..operators import tiles as T
 from ..operators.staged import staged
 from ..operators.tiles import Grid
-from ..sources import formats, readers
+from ..sources import formats, readers, writers
 
 #: Columns of the label table and of the validation table, in order.
 LABEL_COLUMNS = ("tile_id", "tree_id", "x_pixel", "y_pixel", "crown_radius", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "x_long_wgs84", "y_lat_wgs84", "dbh_cm")
@@ -58,7 +60,7 @@ def load_trees(spark: SparkSession, meta: formats.RasterMeta, options: Inventory
         rows = I.clean_csv(readers.text_table(spark, csv), o.status_field, o.status_filter, o.x_field, o.y_field, o.dbh_field, o.dbh_unit, o.min_dbh_cm, o.max_dbh_cm, o.tree_id_field, o.stem_id_field, o.species_field)
         lon, lat = origin_wgs84(meta.origin_x, meta.origin_y, meta.crs)
         trees = rows.withColumn("_p", offset(F.lit(lon), F.lit(lat), F.col("x"), F.col("y"))).withColumns({"lon": F.col("_p.lon"), "lat": F.col("_p.lat")}).drop("_p", "x", "y")
-    return I.deduplicate(trees, order=("ord",)) if o.deduplicate else trees
+    return I.in_id_order(I.deduplicate(trees, order=("ord",)), "lon", "lat") if o.deduplicate else trees
 
 
 def in_pixels(trees: DataFrame, meta: formats.RasterMeta, stem: str) -> DataFrame:
@@ -78,6 +80,39 @@ def make_weak_labels(spark: SparkSession, image: str, options: InventoryOptions,
     return out.orderBy("y0", "x0", "ord").select(*LABEL_COLUMNS)
 
 
+def write_weak_labels(spark: SparkSession, labels: DataFrame, image: str, out: Path, tile_size: int, overlap: int, pictures: bool = False) -> dict[str, int]:
+    """The label table as weak_labels.csv and as a layer of points, and, if asked for, the labelled tiles with their crowns and boxes; how many of each."""
+    out.mkdir(parents=True, exist_ok=True)
+    for old in ("weak_labels.yaml", "weak_labels.yml"):
+        (out / old).unlink(missing_ok=True)
+    kept = staged(labels.withColumn("_no", F.monotonically_increasing_id()))
+    table = kept.orderBy("_no").drop("_no")
+    write_csv(table, out / "weak_labels.csv")
+    counts = {"labels": writers.write_label_layer(table, out / "weak_labels.shp")}
+    if pictures:
+        meta = readers.raster_meta(spark, image)
+        trees = F.array_sort(F.collect_list(F.struct("_no", *[F.col(c).cast("double").alias(c) for c in ("x_pixel", "y_pixel", "crown_radius", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")])))
+        marked = Grid(meta.width, meta.height, tile_size, overlap).frame(spark).join(kept.groupBy("tile_id").agg(trees.alias("trees")), "tile_id")
+        counts["pictures"] = writers.write_pictures(drawn(readers.raster_tiles(spark, image, marked), _draw_trees), out / "visualizations" / "tiles", "tif")
+    return counts
+
+
+def _draw_trees(pixels: np.ndarray, t: Any) -> np.ndarray:
+    return drawing.draw_labels(pixels, [r.asDict() if hasattr(r, "asDict") else dict(r) for r in t.trees])
+
+
+def drawn(tiles: DataFrame, draw: Callable[[np.ndarray, Any], np.ndarray]) -> DataFrame:
+    """Tiles (tile_id, width, height, channels, data) as draw makes them of their pixels and their row."""
+
+    def paint(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for t in pdf.itertuples():
+                a = draw(np.frombuffer(t.data, dtype=np.uint8).reshape(t.height, t.width, t.channels), t)
+                yield pd.DataFrame([(t.tile_id, a.shape[1], a.shape[0], a.shape[2], np.ascontiguousarray(a).tobytes())], columns=["tile_id", "width", "height", "channels", "data"])
+
+    return tiles.mapInPandas(paint, "tile_id string, width int, height int, channels int, data binary")
+
+
 @dataclass
 class Prompts:
     """What the model is asked: a text, boxes and points in the image, boxes by tile."""
@@ -111,6 +146,7 @@ class BoxBackend:
 
     score: float = 0.9
     reach: int = field(default=8)
+    reads_text: bool = False
 
     def predict(self, pixels: np.ndarray, text: str | None, boxes: list[list[float]], points: list[list[float]]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         h, w = pixels.shape[:2]
@@ -137,23 +173,10 @@ def prompt_tiles(spark: SparkSession, grid: Grid, prompts: Prompts) -> DataFrame
 _FOUND = "tile_id string, x0 int, y0 int, x1 int, y1 int, k int, score double, lx1 double, ly1 double, lx2 double, ly2 double, mask binary"
 
 
-def predict_masks(spark: SparkSession, image: str, prompts: Prompts, backend: Backend, model: str = "sam3", threshold: float = 0.5, tile_size: int = 640, overlap: int = 64, merge_iou: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(merged, found, index): kept detections with label_id by score, all detections by tile, and a count for every tile.
+def infer(tiles: DataFrame, backend: Backend, text: str | None) -> DataFrame:
+    """The detections of tiles with their pixels, boxes and points: a row each, masks in packed bits of their tile."""
 
-    A tile without any prompt isn't read. Masks are packed bits of their tile,
-    never of the whole image.
-    """
-    prompts.check(model)
-    meta = readers.raster_meta(spark, image)
-    grid = Grid(meta.width, meta.height, tile_size, overlap)
-    asked = prompt_tiles(spark, grid, prompts)
-    if not prompts.text:
-        asked = asked.where((F.size("boxes") > 0) | (F.size("points") > 0))
-    pixels = readers.raster_tiles(spark, image, asked.select("tile_id", "x0", "y0", "x1", "y1"))
-    rows = asked.select("tile_id", "boxes", "points").join(pixels, "tile_id")
-    text = prompts.text
-
-    def infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for t in pdf.itertuples():
                 w, h = t.x1 - t.x0, t.y1 - t.y0
@@ -168,19 +191,110 @@ def predict_masks(spark: SparkSession, image: str, prompts: Prompts, backend: Ba
                         out.append((t.tile_id, t.x0, t.y0, t.x1, t.y1, k, float(scores[k]), *box, np.packbits(m).tobytes()))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
-    found = staged(rows.repartition(max(1, spark.sparkContext.defaultParallelism), "tile_id").mapInPandas(infer, _FOUND))
+    return tiles.mapInPandas(ask, _FOUND)
+
+
+def asked_tiles(spark: SparkSession, image: str, tiles: DataFrame, text: str | None) -> DataFrame:
+    """Tiles (of prompt_tiles) that there is something to ask about, with their pixels; the others aren't read."""
+    asked = tiles if text else tiles.where((F.size("boxes") > 0) | (F.size("points") > 0))
+    return readers.raster_tiles(spark, image, asked.repartition(max(1, spark.sparkContext.defaultParallelism), "tile_id"))
+
+
+def predict_masks(spark: SparkSession, image: str, prompts: Prompts, backend: Backend, model: str = "sam3", threshold: float = 0.5, tile_size: int = 640, overlap: int = 64, merge_iou: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(merged, found, index): kept detections with label_rank by score, all detections by tile, and a count for every tile.
+
+    A tile without any prompt isn't read. Masks are packed bits of their tile,
+    never of the whole image. A backend that doesn't read texts takes no text
+    prompt.
+    """
+    prompts.check(model)
+    if prompts.text and not getattr(backend, "reads_text", True):
+        raise ValueError("this backend reads no text; name one that does")
+    meta = readers.raster_meta(spark, image)
+    grid = Grid(meta.width, meta.height, tile_size, overlap)
+    found = staged(infer(asked_tiles(spark, image, prompt_tiles(spark, grid, prompts), prompts.text), backend, prompts.text))
     kept = D.confident(found, "tile_id", "score", threshold, fallback=True, order="k")
     at = lambda c, o, most: F.least(F.greatest(F.col(c) + F.col(o), F.lit(0.0)), F.lit(float(most))).cast("float").cast("double")
     boxed = kept.withColumns({"bx1": at("lx1", "x0", meta.width), "by1": at("ly1", "y0", meta.height), "bx2": at("lx2", "x0", meta.width), "by2": at("ly2", "y0", meta.height)}).where("bx2 > bx1 AND by2 > by1")
     plain = boxed.select("tile_id", "k", "score", "mask", F.col("x0").alias("tx"), F.col("y0").alias("ty"), (F.col("x1") - F.col("x0")).alias("tw"), (F.col("y1") - F.col("y0")).alias("th"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"), F.col("bx2").alias("x2"), F.col("by2").alias("y2"))
     plain = plain.withColumn("ord", F.struct("ty", "tx", "k"))
-    merged = D.suppress(plain, merge_iou, float(tile_size)).drop("ord")
-    merged = merged.withColumnRenamed("rank", "label_rank")
-    counts = kept.groupBy("tile_id").agg(F.count("*").alias("n"))
-    index = grid.frame(spark).join(counts, "tile_id", "left").select("tile_id", "x0", "y0", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), F.coalesce("n", F.lit(0)).alias("count")).orderBy("y0", "x0")
+    merged = D.suppress(plain, merge_iou).drop("ord").withColumnRenamed("rank", "label_rank")
+    index = D.per_tile(grid.frame(spark), kept).select("tile_id", "x0", "y0", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), "count").orderBy("y0", "x0")
     return merged, kept, index
 
 
+def write_predictions(spark: SparkSession, image: str, out: Path, prompts: Prompts, merged: DataFrame, kept: DataFrame, index: DataFrame, archive: bool = True, pictures: bool = False) -> dict[str, float | int | None]:
+    """Everything of a prediction: the table of kept masks, an archive for every tile and, if asked for, one of the whole image and pictures of the tiles.
+
+    The tiles' archives are what validation reads. Returns the numbers of kept
+    masks and tiles, and the range and mean of the scores.
+    """
+    meta = readers.raster_meta(spark, image)
+    folder = out / "masks" / "tiles"
+    merged = staged(merged)
+    merged.write.mode("overwrite").parquet(str(out / "masks.parquet"))
+    tiles = index.select("tile_id", "x0", "y0", (F.col("x0") + F.col("width")).alias("x1"), (F.col("y0") + F.col("height")).alias("y1"))
+    n = writers.write_tile_archives(kept, tiles, folder)
+    write_csv(index, folder / "index.csv")
+    if archive:
+        writers.write_merged_archive(merged, meta.width, meta.height, out / "masks" / "image_masks.npz")
+    if pictures:
+        label = prompts.text or ("bbox" if prompts.boxes or prompts.by_tile is not None else "point" if prompts.points else None)
+        annotate(spark, image, tiles, kept, out / "tiles_annotated", label)
+    scores = D.confidence_summary(merged).first()
+    return {"masks": scores.n, "tiles": n, "least": scores.least, "mean": scores["mean"], "greatest": scores.greatest}
+
+
+def annotate(spark: SparkSession, image: str, tiles: DataFrame, found: DataFrame, folder: Path, label: str | None = None) -> int:
+    """Every tile as a picture with its detections; tiles without any as they are; the number of tiles."""
+    item = F.struct("k", "score", "lx1", "ly1", "lx2", "ly2", "mask")
+    held = tiles.join(found.groupBy("tile_id").agg(F.array_sort(F.collect_list(item)).alias("found")), "tile_id", "left")
+
+    def draw(pixels: np.ndarray, t: Any) -> np.ndarray:
+        got = list(t.found) if t.found is not None else []
+        masks = [writers.unpacked(g["mask"], t.width, t.height) for g in got]
+        return drawing.draw_detections(pixels, masks, [[g[c] for c in ("lx1", "ly1", "lx2", "ly2")] for g in got], [g["score"] for g in got], label)
+
+    return writers.write_pictures(drawn(readers.raster_tiles(spark, image, held), draw), folder)
+
+
+def label_by_boxes(spark: SparkSession, image: str, boxes: Sequence[tuple[float, float, float, float]], out: Path, backend: Backend, by_tile: DataFrame | None = None, tile_size: int = 1024, overlap: int = 128) -> int:
+    """The older workflow: tiles, and beside them the tiles with what the model finds for their boxes, without merging; the number of tiles."""
+    write_tiles(spark, image, str(out), tile_size, tile_size, overlap)
+    meta = readers.raster_meta(spark, image)
+    grid = Grid(meta.width, meta.height, tile_size, overlap)
+    found = staged(infer(asked_tiles(spark, image, prompt_tiles(spark, grid, Prompts(boxes=boxes, by_tile=by_tile)), None), backend, None))
+    return annotate(spark, image, grid.frame(spark), D.confident(found, "tile_id", "score", 0.5, fallback=True, order="k"), out / "tiles_annotated")
+
+
+def cached_tiles(spark: SparkSession, folder: Path) -> DataFrame:
+    """(x0, y0) of the tiles that a folder has files of, by their names alone."""
+    if not any(folder.glob("tile_*_overlap*")):
+        return spark.range(0).select(F.lit(0).alias("x0"), F.lit(0).alias("y0"))
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "tile_*").load(str(folder)).select(legacy_tile(F.col("path")).alias("t"))
+    return names.where("t IS NOT NULL").select(F.col("t.x").cast("int").alias("x0"), F.col("t.y").cast("int").alias("y0")).distinct()
+
+
+def predict_cached(spark: SparkSession, image: str, out: Path, backend: Backend, text: str = "tree crowns", tile_size: int = 640, overlap: int = 64, start: tuple[int, int] = (0, 0), most: int | None = None, use_cache: bool = True) -> dict[str, float | int]:
+    """The older prediction by tile: files by number and place, tiles that have some already are passed over; totals of the run."""
+    out.mkdir(parents=True, exist_ok=True)
+    meta = readers.raster_meta(spark, image)
+    grid = Grid(meta.width, meta.height, tile_size, overlap)
+    tiles = D.ranked(grid.frame(spark, start, most), F.asc("y0"), F.asc("x0")).withColumn("no", F.col("rank") - 1).drop("rank")
+    todo = staged(tiles.join(cached_tiles(spark, out), ["x0", "y0"], "left_anti")) if use_cache else staged(tiles)
+    none = F.expr("CAST(array() AS array<array<double>>)")
+    rows = todo.withColumns({"boxes": none, "points": none})
+    began, read = time.perf_counter(), Observation()
+    found = staged(infer(asked_tiles(spark, image, rows, text), backend, text).observe(read, F.count(F.lit(1)).alias("masks")))
+    took = time.perf_counter() - began
+    named = todo.withColumn("tile_id", F.regexp_replace(legacy_tile_name(F.col("no"), F.col("x0"), F.col("y0"), F.lit(overlap)), r"\.png$", ""))
+    renamed = found.drop("tile_id").join(named.select("tile_id", "x0", "y0"), ["x0", "y0"])
+    writers.write_tile_archives(renamed, named, out)
+    annotate(spark, image, named, renamed, out, None)
+    total, done = tiles.count(), todo.count()
+    return {"tiles": total, "processed": done, "skipped": total - done, "masks": read.get["masks"], "seconds": took}
+
+
 def validate(spark: SparkSession, trees: DataFrame, runs: DataFrame, extents: DataFrame | None, width: int, height: int) -> tuple[DataFrame, DataFrame]:
     """(table, summary) of stems (ord, tree_id, stem_id, x, y in pixels) against masks' row runs.
 
@@ -210,47 +324,63 @@ def write_tiles(spark: SparkSession, image: str, out: str, tile_width: int = 204
     """A raster's tiles as PNG files named by their origin, and metadata.json beside them; the number of tiles."""
     meta = readers.raster_meta(spark, image)
     grid = Grid(meta.width, meta.height, tile_width, overlap, tile_height)
-    folder = Path(out) / "tiles_rgb"
-    folder.mkdir(parents=True, exist_ok=True)
-
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for t in pdf.itertuples():
-                a = np.frombuffer(t.data, dtype=np.uint8).reshape(t.y1 - t.y0, t.x1 - t.x0, t.channels)
-                (folder / f"{t.tile_id}.png").write_bytes(formats.png_encode(a))
-            yield pdf[["tile_id"]]
-
-    n = readers.raster_tiles(spark, image, grid.frame(spark)).mapInPandas(save, "tile_id string").count()
+    n = writers.write_pictures(readers.raster_tiles(spark, image, grid.frame(spark)), Path(out) / "tiles_rgb")
     (Path(out) / "metadata.json").write_text(json.dumps({"original_shape": [meta.height, meta.width, meta.channels], "tile_size": [tile_width, tile_height], "overlap": [overlap, overlap]}) + "\n")
     return n
 
 
-def reconstruct(spark: SparkSession, folder: str) -> np.ndarray:
-    """The image (RGBA) of a folder of tiles, blended over their overlaps."""
-    meta = json.loads((Path(folder) / "metadata.json").read_text())
-    h, w, _ = meta["original_shape"]
+def reconstructed(spark: SparkSession, folder: str, side: int = 1024) -> tuple[DataFrame, int, int]:
+    """The image of a folder of tiles in blocks (tile_id, x0, y0, width, height, channels, data; RGBA), blended over their overlaps; its width and height.
 
-    def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Every tile is cut to the blocks that it meets, and every block is summed by
+    one task, so nothing holds the image whole. A tile of another size than its
+    place asks for is resized.
+    """
+    about = json.loads((Path(folder) / "metadata.json").read_text())
+    (h, w, _), (tw, th), overlap = about["original_shape"], about["tile_size"], about["overlap"][0]
+    origin = tile_origin(F.col("path"))
+    tiles = readers.images(spark, str(Path(folder) / "tiles_rgb")).withColumn("o", origin).where("o IS NOT NULL").select("width", "height", "channels", "data", F.col("o.x").alias("x0"), F.col("o.y").alias("y0"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for t in pdf.itertuples():
                 a = np.frombuffer(t.data, dtype=np.uint8).reshape(t.height, t.width, t.channels)
-                a = np.repeat(a, 3, axis=2) if t.channels == 1 else a[:, :, :4]
-                a = a if a.shape[2] == 4 else np.concatenate([a, np.full((*a.shape[:2], 1), 255, dtype=np.uint8)], axis=2)
-                y, x, c = np.meshgrid(*map(np.arange, a.shape), indexing="ij")
-                yield pd.DataFrame({"x0": t.x0, "y0": t.y0, "width": t.width, "height": t.height, "x": x.ravel() + t.x0, "y": y.ravel() + t.y0, "channel": c.ravel(), "value": a.ravel().astype(float)})
+                a = rasters.rgba(rasters.resized(a, min(tw, w - t.x0), min(th, h - t.y0)))
+                weight = rasters.ramps(a.shape[1], overlap)[None, :] * rasters.ramps(a.shape[0], overlap)[:, None]
+                out = []
+                for by in range(t.y0 // side, (t.y0 + a.shape[0] - 1) // side + 1):
+                    for bx in range(t.x0 // side, (t.x0 + a.shape[1] - 1) // side + 1):
+                        ys, xs = slice(max(0, by * side - t.y0), by * side + side - t.y0), slice(max(0, bx * side - t.x0), bx * side + side - t.x0)
+                        part = a[ys, xs]
+                        out.append((bx, by, t.x0 + xs.start - bx * side, t.y0 + ys.start - by * side, part.shape[1], part.shape[0], np.ascontiguousarray(part).tobytes(), np.ascontiguousarray(weight[ys, xs]).tobytes()))
+                yield pd.DataFrame(out, columns=["bx", "by", "x", "y", "w", "h", "data", "weight"])
+
+    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
+        bx, by = int(pdf.bx.iloc[0]), int(pdf.by.iloc[0])
+        bw, bh = min(side, w - bx * side), min(side, h - by * side)
+        total, weights = np.zeros((bh, bw, 4)), np.zeros((bh, bw))
+        for t in pdf.sort_values(["y", "x", "w", "h"]).itertuples():
+            weight = np.frombuffer(t.weight).reshape(t.h, t.w)
+            total[t.y : t.y + t.h, t.x : t.x + t.w] += np.frombuffer(t.data, dtype=np.uint8).reshape(t.h, t.w, 4) * weight[:, :, None]
+            weights[t.y : t.y + t.h, t.x : t.x + t.w] += weight
+        out = np.floor(total / np.maximum(weights, 1e-6)[:, :, None] + 1e-9).astype(np.uint8)
+        return pd.DataFrame([(f"tile_x{bx * side}_y{by * side}", bx * side, by * side, bw, bh, 4, out.tobytes())], columns=["tile_id", "x0", "y0", "width", "height", "channels", "data"])
+
+    parts = tiles.mapInPandas(cut, "bx int, by int, x int, y int, w int, h int, data binary, weight binary")
+    return parts.groupBy("bx", "by").applyInPandas(blend, "tile_id string, x0 int, y0 int, width int, height int, channels int, data binary"), w, h
 
-    from ..functions.columns import tile_origin
 
-    tiles = readers.images(spark, str(Path(folder) / "tiles_rgb")).withColumn("o", tile_origin(F.col("path"))).where("o IS NOT NULL").withColumns({"x0": F.col("o.x"), "y0": F.col("o.y")}).drop("o")
-    schema = "x0 long, y0 long, width int, height int, x long, y long, channel int, value double"
-    got = R.blend(tiles.mapInPandas(pixels, schema), meta["overlap"][0]).where((F.col("x") < w) & (F.col("y") < h)).toPandas()
+def reconstruct(spark: SparkSession, folder: str) -> np.ndarray:
+    """The image (RGBA) of a folder of tiles as one array, block by block; for images that the driver can hold."""
+    blocks, w, h = reconstructed(spark, folder)
     out = np.zeros((h, w, 4), dtype=np.uint8)
-    out[got.y, got.x, got.channel] = np.floor(got.value + 1e-9).astype(np.uint8)
+    for b in blocks.toLocalIterator():
+        out[b.y0 : b.y0 + b.height, b.x0 : b.x0 + b.width] = np.frombuffer(b.data, dtype=np.uint8).reshape(b.height, b.width, 4)
     return out
 
 
 def height_map(spark: SparkSession, las: str, method: str = "max", **size: float) -> np.ndarray:
-    """A dense grid (single precision, row 0 at the least y) of a LAS file; empty cells are 0."""
+    """A dense grid (single precision, row 0 at the least y) of a LAS file; empty cells are 0; for grids that the driver can hold."""
     if not Path(las).exists():
         raise FileNotFoundError(las)
     grid, spec = R.height_grid(readers.las(spark, las), method, **size)
@@ -260,11 +390,46 @@ def height_map(spark: SparkSession, las: str, method: str = "max", **size: float
     return out
 
 
-def write_npz(path: Path, masks: np.ndarray, boxes: np.ndarray, scores: np.ndarray, **more: object) -> None:
-    """Masks, boxes and scores, with what else is named, as a compressed NPZ."""
-    buffer = io.BytesIO()
-    np.savez_compressed(buffer, masks=masks.astype(bool), boxes=boxes.astype(np.float32), scores=scores.astype(np.float32), **more)
-    path.write_bytes(buffer.getvalue())
+def write_height_picture(spark: SparkSession, las: str, path: Path, method: str = "max", low: float | None = None, high: float | None = None, **size: float) -> tuple[int, int]:
+    """A LAS file's height grid as a gray PNG, the greatest y first; width and height. Rows are packed by the executors and written one after the other."""
+    if not Path(las).exists():
+        raise FileNotFoundError(las)
+    grid, spec = R.height_grid(readers.las(spark, las), method, **size)
+    grid = staged(grid)
+    rows = R.flipped(R.gray_cells(grid, low, high), spec.height).groupBy("row").agg(F.collect_list(F.struct("col", "gray")).alias("cells")).orderBy("row")
+
+    def lines() -> Iterator[bytes]:
+        at = 0
+        for r in rows.toLocalIterator():
+            for _ in range(at, r.row):
+                yield bytes(spec.width)
+            line = bytearray(spec.width)
+            for c in r.cells:
+                line[c.col] = c.gray
+            yield bytes(line)
+            at = r.row + 1
+        for _ in range(at, spec.height):
+            yield bytes(spec.width)
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    formats.png_write(path, spec.width, spec.height, 1, lines())
+    return spec.width, spec.height
+
+
+def write_height_overlay(spark: SparkSession, image: str, las: str, out: Path, method: str = "max", side: int = 1024) -> int:
+    """An image times the gray of a height grid of its own size, modulo 256, in blocks as PNG files; the number of blocks."""
+    meta = readers.raster_meta(spark, image)
+    grid, spec = R.height_grid(readers.las(spark, las), method, width=meta.width, height=meta.height)
+    cells = R.flipped(R.gray_cells(staged(grid)), spec.height).withColumn("tile_id", tile_id(F.floor(F.col("col") / side) * side, F.floor(F.col("row") / side) * side))
+    held = Grid(meta.width, meta.height, side).frame(spark).join(cells.groupBy("tile_id").agg(F.collect_list("col").alias("cols"), F.collect_list("row").alias("rows"), F.collect_list("gray").alias("grays")), "tile_id", "left")
+
+    def draw(pixels: np.ndarray, t: Any) -> np.ndarray:
+        gray = np.zeros(pixels.shape[:2], dtype=np.uint8)
+        if t.cols is not None:
+            gray[np.asarray(t.rows) - t.y0, np.asarray(t.cols) - t.x0] = t.grays
+        return pixels * gray[:, :, None]
+
+    return writers.write_pictures(drawn(readers.raster_tiles(spark, image, held), draw), out)
 
 
 def write_run_metadata(out: Path, image: str, tile_size: int, overlap: int, prompts: Prompts, model: str | None = None, command: str | None = None) -> None:

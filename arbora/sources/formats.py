@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 
@@ -20,6 +22,21 @@ def png_encode(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def png_write(path: Path, width: int, height: int, channels: int, lines: Iterable[bytes]) -> None:
+    """8-bit rows one after the other as a PNG; no more than a few rows are held."""
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    pack = zlib.compressobj(6)
+    with open(path, "wb") as out:
+        out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, 0)))
+        for line in lines:
+            if body := pack.compress(b"\0" + line):
+                out.write(chunk(b"IDAT", body))
+        out.write(chunk(b"IDAT", pack.flush()) + chunk(b"IEND", b""))
+
+
 def png_decode(data: bytes) -> np.ndarray:
     """The pixels (height, width, channels) of an 8-bit PNG that is not interlaced; palettes become RGB."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -83,50 +100,169 @@ class RasterMeta:
         return 1 if self.bands == 1 else 3 if self.bands < 4 else 4
 
 
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """The bytes of a TIFF's LZW strip: codes of 9 to 12 bits, the first bit first, 256 clears and 257 ends."""
+    out, table, last = bytearray(), [], b""
+    bits, held, width = 0, 0, 9
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = [bytes((c,)) for c in range(256)] + [b"", b""], b"", 9
+            continue
+        if not table or code > len(table):
+            raise ValueError("a damaged LZW strip")
+        word = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + word[:1])
+        out += word
+        last = word
+        # a code's width grows one entry before the table is full
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+def pack_lzw(data: bytes) -> bytes:
+    """Bytes as an LZW strip that unpack_lzw reads."""
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code: int, width: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+        held &= (1 << bits) - 1
+
+    first = {bytes((c,)): c for c in range(256)}
+    table, width, word = dict(first), 9, b""
+    put(256, width)
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word], width)
+        table[longer] = 258 + len(table) - 256
+        n = len(table) + 2
+        if n == 4094:
+            put(256, 12)
+            table, width = dict(first), 9
+        else:
+            width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        word = data[k : k + 1]
+    if word:
+        put(table[word], width)
+        n = len(table) + 3
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    put(257, width)
+    if bits:
+        out.append(held << 8 - bits & 255)
+    return bytes(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """The bytes of a PackBits strip."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: How a strip or tile becomes plain bytes, by the tag for compression.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
 class Tiff:
-    """A TIFF of strips or tiles, not compressed or by deflate; windows are read without the rest."""
+    """A TIFF or BigTIFF of strips or tiles, plain or by LZW, deflate or PackBits, with or without a predictor, chunky or planar.
 
-    def __init__(self, data: bytes) -> None:
-        if data[:2] not in (b"II", b"MM") or struct.unpack(("<" if data[:2] == b"II" else ">") + "H", data[2:4])[0] != 42:
+    data is bytes or anything that gives slices of them; only the header, the
+    tags and the strips or tiles of a window are read.
+    """
+
+    def __init__(self, data) -> None:
+        head = bytes(data[:16])
+        self.end = {b"II": "<", b"MM": ">"}.get(head[:2], "")
+        kind = struct.unpack(self.end + "H", head[2:4])[0] if self.end else 0
+        if kind not in (42, 43):
             raise ValueError("not a TIFF")
-        self.data, self.end = data, "<" if data[:2] == b"II" else ">"
-        at = struct.unpack(self.end + "I", data[4:8])[0]
-        self.tags: dict[int, tuple] = {}
-        for k in range(struct.unpack(self.end + "H", data[at : at + 2])[0]):
-            tag, kind, n = struct.unpack(self.end + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-            form = f"{n}s" if kind in (2, 7) else _TYPES.get(kind, "B") * n
-            size = struct.calcsize(self.end + form)
-            place = at + 10 + 12 * k if size <= 4 else struct.unpack(self.end + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-            self.tags[tag] = struct.unpack(self.end + form, data[place : place + size])
+        big = kind == 43
+        at = struct.unpack(self.end + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
+        count, entry, inline = (8, 20, 8) if big else (2, 12, 4)
+        n = struct.unpack(self.end + ("Q" if big else "H"), bytes(data[at : at + count]))[0]
+        table = bytes(data[at + count : at + count + n * entry])
+        self.data, self.tags = data, {}
+        for k in range(n):
+            e = table[k * entry : (k + 1) * entry]
+            tag, form, many = struct.unpack(self.end + ("HHQ" if big else "HHI"), e[: entry - inline])
+            code = f"{many}s" if form in (2, 7) else f"{2 * many}I" if form == 5 else f"{many}{_TYPES.get(form, 'B')}"
+            size = struct.calcsize(self.end + code)
+            raw = e[entry - inline :]
+            if size > inline:
+                place = struct.unpack(self.end + ("Q" if big else "I"), raw)[0]
+                raw = bytes(data[place : place + size])
+            self.tags[tag] = struct.unpack(self.end + code, raw[:size])
+
+    def _tag(self, number: int, default: int) -> int:
+        return self.tags.get(number, (default,))[0]
 
     def meta(self) -> RasterMeta:
+        """Size, place and system; a place by scale and tie point, or by a matrix without its rotation."""
+        m = self.tags.get(34264)
         scale, tie, geo = self.tags.get(33550, (1.0, 1.0, 0.0)), self.tags.get(33922, (0.0,) * 6), self.tags.get(34735, ())
+        place = (m[3], m[7], m[0], m[5]) if m else (tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], -scale[1])
         codes = [geo[i + 3] for i in range(4, len(geo) - 3, 4) if geo[i] in (2048, 3072) and geo[i + 1] == 0 and geo[i + 3] not in (0, 32767)]
         nodata = self.tags.get(42113)
-        return RasterMeta(self.tags[256][0], self.tags[257][0], self.tags.get(277, (1,))[0], tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], -scale[1], f"EPSG:{codes[-1]}" if codes else None, float(nodata[0].strip(b"\0 ")) if nodata else None)
+        return RasterMeta(self.tags[256][0], self.tags[257][0], self._tag(277, 1), *place, f"EPSG:{codes[-1]}" if codes else None, float(nodata[0].strip(b"\0 ")) if nodata else None)
+
+    def _block(self, k: int, wide: int, bands: int, dtype: np.dtype) -> np.ndarray:
+        """A strip or tile as (rows, wide, bands)."""
+        places, sizes = self.tags.get(324, self.tags.get(273)), self.tags.get(325, self.tags.get(279))
+        raw = UNPACK[self._tag(259, 1)](bytes(self.data[places[k] : places[k] + sizes[k]]))
+        line = wide * bands
+        rows, predictor = len(raw) // dtype.itemsize // line, self._tag(317, 1)
+        if predictor == 3:  # differences of bytes; a row's first bytes of all values come first, then their second bytes
+            parts = np.frombuffer(raw, dtype=np.uint8)[: rows * line * dtype.itemsize].reshape(rows, dtype.itemsize * wide, bands)
+            parts = np.cumsum(parts, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, line)
+            return np.ascontiguousarray(parts.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, wide, bands)
+        a = np.frombuffer(raw, dtype=dtype)[: rows * line].reshape(rows, wide, bands)
+        return np.cumsum(a, axis=1, dtype=dtype.newbyteorder("=")) if predictor == 2 else a
 
     def window(self, x: int, y: int, w: int, h: int) -> np.ndarray:
         """Pixels (h, w, channels) of a window, 8 bits; other kinds of values are scaled by their range."""
         m, t = self.meta(), self.tags
-        if t.get(259, (1,))[0] not in (1, 8, 32946) or t.get(284, (1,))[0] != 1 or t.get(317, (1,))[0] != 1:
-            raise ValueError("only plain or deflated TIFFs with chunky pixels are read")
-        bits, kind = t.get(258, (8,))[0], t.get(339, (1,))[0]
+        if self._tag(259, 1) not in UNPACK:
+            raise ValueError(f"a TIFF by compression {self._tag(259, 1)} isn't read; LZW, deflate, PackBits and plain ones are")
+        bits, kind = self._tag(258, 8), self._tag(339, 1)
+        if bits not in (8, 16, 32, 64) or kind not in (1, 2, 3):
+            raise ValueError(f"values of {bits} bits aren't read")
         dtype = np.dtype(f"{self.end}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{bits // 8}")
-        tw, th = (t[322][0], t[323][0]) if 322 in t else (m.width, t.get(278, (m.height,))[0])
-        places, sizes, across = t.get(324, t.get(273)), t.get(325, t.get(279)), -(-m.width // tw)
-        out = np.zeros((h, w, m.bands), dtype=dtype)
-        for by in range(y // th, -(-(y + h) // th)):
-            for bx in range(x // tw, -(-(x + w) // tw)):
-                k = by * across + bx
-                raw = self.data[places[k] : places[k] + sizes[k]]
-                raw = raw if t.get(259, (1,))[0] == 1 else zlib.decompress(raw)
-                block = np.frombuffer(raw, dtype=dtype)[: len(raw) // dtype.itemsize // (tw * m.bands) * tw * m.bands].reshape(-1, tw, m.bands)
-                x0, y0, x1, y1 = max(x, bx * tw), max(y, by * th), min(x + w, bx * tw + tw, m.width), min(y + h, by * th + len(block), m.height)
-                if x1 > x0 and y1 > y0:
-                    out[y0 - y : y1 - y, x0 - x : x1 - x] = block[y0 - by * th : y1 - by * th, x0 - bx * tw : x1 - bx * tw]
+        tw, th = (t[322][0], t[323][0]) if 322 in t else (m.width, min(self._tag(278, m.height), m.height))
+        across, down = -(-m.width // tw), -(-m.height // th)
+        planes = m.bands if self._tag(284, 1) == 2 else 1
+        each = m.bands // planes
+        out = np.zeros((h, w, m.bands), dtype=dtype.newbyteorder("="))
+        for by in range(max(0, y // th), min(down, -(-(y + h) // th))):
+            for bx in range(max(0, x // tw), min(across, -(-(x + w) // tw))):
+                for p in range(planes):
+                    block = self._block(p * across * down + by * across + bx, tw, each, dtype)
+                    x0, y0, x1, y1 = max(x, bx * tw), max(y, by * th), min(x + w, bx * tw + tw, m.width), min(y + h, by * th + len(block), m.height)
+                    if x1 > x0 and y1 > y0:
+                        out[y0 - y : y1 - y, x0 - x : x1 - x, p * each : (p + 1) * each] = block[y0 - by * th : y1 - by * th, x0 - bx * tw : x1 - bx * tw]
         if m.bands == 2:
             out = np.concatenate([out, out[:, :, 1:]], axis=2)
         out = out[:, :, : m.channels]
@@ -142,25 +278,40 @@ def to_bytes(a: np.ndarray) -> np.ndarray:
     return np.zeros(a.shape, dtype=np.uint8) if high <= low else np.clip((np.where(finite, a, low) - low) / (high - low) * 255.0, 0, 255).astype(np.uint8)
 
 
-def tiff_encode(pixels: np.ndarray, meta: RasterMeta | None = None) -> bytes:
-    """8-bit pixels as a deflated TIFF of one strip, with the place of meta."""
+def tiff_encode(pixels: np.ndarray, meta: RasterMeta | None = None, compression: str = "deflate", predictor: bool = False, rows: int = 0, big: bool = False, planar: bool = False) -> bytes:
+    """8-bit pixels as a TIFF of strips (of so many rows; one without), with the place of meta; by deflate, LZW or plain, as BigTIFF if big."""
     a = np.ascontiguousarray(pixels if pixels.ndim == 3 else pixels[:, :, None], dtype=np.uint8)
     h, w, c = a.shape
-    body = zlib.compress(a.tobytes(), 6)
-    tags: list[tuple[int, int, tuple]] = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (8,) * c), (259, 3, (8,)), (262, 3, (2 if c >= 3 else 1,)), (273, 4, (8,)), (277, 3, (c,)), (278, 4, (h,)), (279, 4, (len(body),))]
+    rows = rows or max(h, 1)
+    code, pack = {"deflate": (8, lambda b: zlib.compress(b, 6)), "lzw": (5, pack_lzw), "none": (1, bytes)}[compression]
+    strips = [a[y : y + rows, :, k] for k in range(c) for y in range(0, h, rows)] if planar else [a[y : y + rows] for y in range(0, h, rows)]
+    if predictor:
+        strips = [np.concatenate([x[:, :1], x[:, 1:] - x[:, :-1]], axis=1) for x in strips]
+    packed = [pack(np.ascontiguousarray(x).tobytes()) for x in strips]
+    start = 16 if big else 8
+    places = start + np.cumsum([0, *map(len, packed)])
+    body = b"".join(packed)
+    at = start + len(body) + len(body) % 2
+    wide, form = (16, "Q") if big else (4, "I")
+    tags: list[tuple[int, int, tuple]] = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (8,) * c), (259, 3, (code,)), (262, 3, (2 if c >= 3 else 1,)), (273, wide, tuple(int(p) for p in places[:-1])), (277, 3, (c,)), (278, 4, (rows,)), (279, wide, tuple(map(len, packed))), (284, 3, (2 if planar else 1,)), (317, 3, (2 if predictor else 1,))]
     if meta:
         tags += [(33550, 12, (meta.pixel_x, -meta.pixel_y, 0.0)), (33922, 12, (0.0, 0.0, 0.0, meta.origin_x, meta.origin_y, 0.0))]
         if meta.crs and meta.crs.startswith("EPSG:"):
-            code = int(meta.crs[5:])
-            key = 2048 if code == 4326 else 3072
-            tags.append((34735, 3, (1, 1, 0, 2, 1024, 0, 1, 2 if key == 2048 else 1, key, 0, 1, code)))
-    at = 8 + len(body) + len(body) % 2
-    table, extra, far = struct.pack("<H", len(tags)), b"", at + 2 + 12 * len(tags) + 4
+            epsg = int(meta.crs[5:])
+            key = 2048 if epsg == 4326 else 3072
+            tags.append((34735, 3, (1, 1, 0, 2, 1024, 0, 1, 2 if key == 2048 else 1, key, 0, 1, epsg)))
+        if meta.nodata is not None:
+            tags.append((42113, 2, (f"{meta.nodata:g}".encode() + b"\0",)))
+    inline, count = (8, "Q") if big else (4, "H")
+    far = at + struct.calcsize("<" + count) + (20 if big else 12) * len(tags) + inline
+    table, extra = struct.pack("<" + count, len(tags)), b""
     for tag, kind, values in tags:
-        data = struct.pack("<" + _TYPES[kind] * len(values), *values)
-        table += struct.pack("<HHI", tag, kind, len(values)) + (data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", far + len(extra)))
-        extra += data if len(data) > 4 else b""
-    return b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + table + b"\0\0\0\0" + extra
+        data = values[0] if kind == 2 else struct.pack(f"<{len(values)}{_TYPES[kind]}", *values)
+        n = len(data) if kind == 2 else len(values)
+        table += struct.pack("<HH" + form, tag, kind, n) + (data.ljust(inline, b"\0") if len(data) <= inline else struct.pack("<" + form, far + len(extra)))
+        extra += data if len(data) > inline else b""
+    head = b"II+\0" + struct.pack("<HHQ", 8, 0, at) if big else b"II*\0" + struct.pack("<I", at)
+    return head + body + b"\0" * (len(body) % 2) + table + b"\0" * inline + extra
 
 
 def las_header(data: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
@@ -195,44 +346,96 @@ def las_encode(points: np.ndarray, scale: float = 0.001) -> bytes:
     return bytes(head) + body.tobytes()
 
 
-def shp_shapes(data: bytes) -> list[tuple[float, float] | None]:
-    """A representative point of each record: a point itself, the first of a multipoint, the mean of other vertices; none of a null shape."""
-    if struct.unpack(">i", data[:4])[0] != 9994:
+def _ring_sums(v: np.ndarray) -> tuple[float, float, float]:
+    """Twice the signed area of a ring, and the moments that its centroid comes from, about its first vertex."""
+    d = v - v[0]
+    cross = d[:-1, 0] * d[1:, 1] - d[1:, 0] * d[:-1, 1]
+    return float(cross.sum()), float(((d[:-1, 0] + d[1:, 0]) * cross).sum()), float(((d[:-1, 1] + d[1:, 1]) * cross).sum())
+
+
+def centroid(parts: list[np.ndarray], area: bool) -> tuple[float, float] | None:
+    """The centroid of rings by area (holes run the other way round), else of lines by length, else of the vertices."""
+    parts = [v for v in parts if len(v)]
+    if not parts:
+        return None
+    if area:
+        sums = [(_ring_sums(v), v[0]) for v in parts if len(v) > 2]
+        twice = sum(s[0] for s, _ in sums)
+        if twice:
+            x = sum(s[1] + 3 * s[0] * o[0] for s, o in sums) / (3 * twice)
+            y = sum(s[2] + 3 * s[0] * o[1] for s, o in sums) / (3 * twice)
+            return float(x), float(y)
+    steps = [(np.hypot(*(v[1:] - v[:-1]).T), (v[1:] + v[:-1]) / 2) for v in parts if len(v) > 1]
+    total = sum(float(n.sum()) for n, _ in steps)
+    if total:
+        x, y = sum((n[:, None] * m).sum(axis=0) for n, m in steps) / total
+        return float(x), float(y)
+    x, y = np.concatenate(parts).mean(axis=0)
+    return float(x), float(y)
+
+
+def shp_point(body: bytes) -> tuple[float, float] | None:
+    """A representative point of a record's content: a point itself, the first of a multipoint, the centroid of lines and polygons; none of a null shape."""
+    kind = struct.unpack("<i", body[:4])[0] % 10
+    if kind == 1:
+        return struct.unpack("<dd", body[4:20])
+    if kind == 8:
+        return struct.unpack("<dd", body[40:56]) if struct.unpack("<i", body[36:40])[0] else None
+    if kind in (3, 5):
+        many, n = struct.unpack("<ii", body[36:44])
+        starts = [*struct.unpack(f"<{many}i", body[44 : 44 + 4 * many]), n]
+        v = np.frombuffer(body[44 + 4 * many : 44 + 4 * many + 16 * n], dtype="<f8").reshape(-1, 2)
+        return centroid([v[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], kind == 5)
+    return None
+
+
+def shp_records(data) -> list[tuple[int, int]]:
+    """Where each record's content begins in a .shp file, and its length in bytes, from the headers of the records."""
+    if struct.unpack(">i", bytes(data[:4]))[0] != 9994:
         raise ValueError("not a shapefile")
-    out, at = [], 100
-    while at + 12 <= len(data):
-        size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
-        body = data[at + 8 : at + 8 + size]
-        kind = struct.unpack("<i", body[:4])[0] % 10
-        if kind == 1:
-            out.append(struct.unpack("<dd", body[4:20]))
-        elif kind == 8:
-            out.append(struct.unpack("<dd", body[40:56]) if struct.unpack("<i", body[36:40])[0] else None)
-        elif kind in (3, 5):
-            parts, n = struct.unpack("<ii", body[36:44])
-            v = np.frombuffer(body[44 + 4 * parts : 44 + 4 * parts + 16 * n], dtype="<f8").reshape(-1, 2)
-            out.append((float(v[:, 0].mean()), float(v[:, 1].mean())) if n else None)
-        else:
-            out.append(None)
+    end, out, at = struct.unpack(">i", bytes(data[24:28]))[0] * 2, [], 100
+    while at + 12 <= end:
+        size = struct.unpack(">i", bytes(data[at + 4 : at + 8]))[0] * 2
+        out.append((at + 8, size))
         at += 8 + size
     return out
 
 
-def dbf_rows(data: bytes) -> tuple[list[str], list[dict[str, str]]]:
-    """The field names and the rows of a dBASE table, as trimmed texts."""
+def shx_records(data: bytes) -> list[tuple[int, int]]:
+    """The same, from entries of a .shx file."""
+    e = np.frombuffer(data, dtype=">i4").reshape(-1, 2).astype(np.int64) * 2
+    return [(int(at) + 8, int(size)) for at, size in e]
+
+
+def shp_shapes(data: bytes) -> list[tuple[float, float] | None]:
+    """The representative point of each record."""
+    return [shp_point(data[at : at + size]) for at, size in shp_records(data)]
+
+
+def dbf_head(data: bytes) -> tuple[int, int, int, list[tuple[str, int]]]:
+    """A dBASE table's number of rows, where they begin, a row's length, and its fields' names and widths, from its header."""
     n, begin, size = struct.unpack("<IHH", data[4:12])
     fields, at = [], 32
     while data[at] != 0x0D:
         fields.append((data[at : at + 11].split(b"\0")[0].decode("utf-8", "replace"), data[at + 16]))
         at += 32
-    rows = []
-    for k in range(n):
-        record, place, row = data[begin + k * size : begin + (k + 1) * size], 1, {}
-        for name, width in fields:
-            row[name] = record[place : place + width].decode("utf-8", "replace").strip().strip("\0")
-            place += width
-        rows.append(row)
-    return [f for f, _ in fields], rows
+    return n, begin, size, fields
+
+
+def dbf_values(record: bytes, fields: list[tuple[str, int]]) -> list[str]:
+    """A row's values as trimmed texts."""
+    out, place = [], 1
+    for _, width in fields:
+        out.append(record[place : place + width].decode("utf-8", "replace").strip().strip("\0"))
+        place += width
+    return out
+
+
+def dbf_rows(data: bytes) -> tuple[list[str], list[dict[str, str]]]:
+    """The field names and the rows of a dBASE table."""
+    n, begin, size, fields = dbf_head(data)
+    names = [f for f, _ in fields]
+    return names, [dict(zip(names, dbf_values(data[begin + k * size : begin + (k + 1) * size], fields), strict=True)) for k in range(n)]
 
 
 def shp_encode(points: list[tuple[float, float]], fields: list[tuple[str, str, int, int]], rows: list[list]) -> dict[str, bytes]:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import mmap
+import os
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from ..functions.columns import parse_number
+from ..functions.projections import ToWgs84
 from . import formats
 
 
@@ -123,46 +128,195 @@ def las(spark: SparkSession, path: str, rows: int = 1_000_000) -> DataFrame:
     return spark.read.format("las").option("rows", rows).load(path)
 
 
-def shapes(spark: SparkSession, path: str) -> DataFrame:
-    """A shapefile's features: ord (counted over all of them), x, y (null without a shape) and its fields as text."""
-    files = spark.read.format("binaryFile").load([path, path[:-4] + ".dbf"]).select("path", "content").collect()
-    got = {r["path"][-4:].lower(): bytes(r["content"]) for r in files}  # a shapefile's parts are at most 2 GB each
-    points, (names, rows) = formats.shp_shapes(got[".shp"]), formats.dbf_rows(got[".dbf"])
-    table = [(k, *(p or (None, None)), *(r[n] for n in names)) for k, (p, r) in enumerate(zip(points, rows, strict=True))]
-    schema = ", ".join(["ord long", "x double", "y double", *(f"`{n}` string" for n in names)])
-    return spark.createDataFrame(table, schema)
+class _ShpReader(DataSourceReader):
+    def __init__(self, path: str, rows: int) -> None:
+        self.stem, self.rows = path[:-4], rows
+
+    def _file(self, suffix: str) -> str | None:
+        """The layer's file of a kind, in small or capital letters."""
+        return next((p for p in (self.stem + suffix, self.stem + suffix.upper()) if os.path.exists(p)), None)
+
+    def partitions(self) -> list[InputPartition]:
+        shx = self._file(".shx")
+        if shx:
+            count = (os.path.getsize(shx) - 100) // 8
+            return [_Range(self.stem, at, min(self.rows, count - at)) for at in range(0, count, self.rows)] or [_Range(self.stem, 0, 0)]
+        with open(self._file(".shp"), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            places = formats.shp_records(data)  # without an index the records' headers are read once
+        return [_Places(at, places[at : at + self.rows]) for at in range(0, len(places), self.rows)] or [_Places(0, [])]
+
+    def read(self, partition):
+        import pyarrow as pa
 
+        if isinstance(partition, _Places):
+            start, places = partition.start, partition.places
+        else:
+            start = partition.start
+            with open(self._file(".shx"), "rb") as f:
+                f.seek(100 + 8 * start)
+                places = formats.shx_records(f.read(8 * partition.count))
+        prj = self._file(".prj")
+        way = ToWgs84(open(prj, encoding="utf-8", errors="replace").read()) if prj else None  # noqa: SIM115
+        with open(self._file(".shp"), "rb") as f:
+            points = []
+            for at, size in places:
+                f.seek(at)
+                points.append(formats.shp_point(f.read(size)))
+        at = [k for k, p in enumerate(points) if p is not None]
+        x, y = np.array([points[k][0] for k in at]), np.array([points[k][1] for k in at])
+        if way is not None and at:
+            x, y = way(x, y)
+        lon, lat = [None] * len(points), [None] * len(points)
+        for k, a, b in zip(at, x.tolist(), y.tolist(), strict=True):
+            if np.isfinite(a) and np.isfinite(b):
+                lon[k], lat[k] = a, b
+        with open(self._file(".dbf"), "rb") as f:
+            _, begin, size, fields = formats.dbf_head(f.read(65536))
+            f.seek(begin + start * size)
+            raw = f.read(size * len(points))
+        values = [formats.dbf_values(raw[k * size : (k + 1) * size], fields) for k in range(len(points))]
+        columns = [pa.array([v[i] for v in values], pa.string()) for i in range(len(fields))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(start, start + len(points)), pa.int64()), pa.array(lon, pa.float64()), pa.array(lat, pa.float64()), *columns], ["ord", "x", "y", *(n for n, _ in fields)])
+
+
+class _Places(InputPartition):
+    def __init__(self, start: int, places: list[tuple[int, int]]) -> None:
+        self.start, self.places = start, places
+
+
+class ShpDataSource(DataSource):
+    """A shapefile's features by ranges of records; its files must be on a path that all executors see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "shp"
+
+    def schema(self) -> str:
+        reader = self.reader(None)
+        with open(reader._file(".dbf"), "rb") as f:
+            fields = formats.dbf_head(f.read(65536))[3]
+        return ", ".join(["ord long", "x double", "y double", *(f"`{n}` string" for n, _ in fields)])
+
+    def reader(self, schema) -> _ShpReader:
+        return _ShpReader(local_path(self.options["path"]), int(self.options.get("rows", 100_000)))
+
+
+def shapes(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
+    """A shapefile's features: ord (counted over all of them), x, y and its fields as text.
+
+    Places are longitudes and latitudes on WGS84: the .prj beside the file says
+    from which system they come, and without one they are taken as they are; a
+    system that isn't known raises ValueError. A feature without a shape, or
+    beyond its projection's reach, has null places. A missing .shx is made up for.
+    """
+    reader = _ShpReader(local_path(path), rows)
+    if missing := [k for k in (".shp", ".dbf") if not reader._file(k)]:
+        raise FileNotFoundError(f"{reader.stem}{missing[0]}")
+    if prj := reader._file(".prj"):
+        ToWgs84(open(prj, encoding="utf-8", errors="replace").read())  # noqa: SIM115
+    spark.dataSource.register(ShpDataSource)
+    return spark.read.format("shp").option("rows", rows).load(local_path(path))
+
+
+class _Ranges:
+    """A file of Hadoop's file systems as slices of its bytes, for the driver."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream, self.jvm = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where), spark._jvm
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.stream.seek(part.start or 0)
+        return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(self.jvm.org.apache.commons.io.input.BoundedInputStream(self.stream, part.stop - (part.start or 0))))
+
+
+def local_path(path: str) -> str:
+    """A path that the machine's own calls take, wherever a process was started."""
+    return os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
 
-def images(spark: SparkSession, path: str, glob: str = "tile_*.png") -> DataFrame:
-    """(path, width, height, channels, data) of the PNGs in a folder."""
 
+def is_tiff(path: str) -> bool:
+    return path.lower().endswith((".tif", ".tiff"))
+
+
+def raster_meta(spark: SparkSession, path: str) -> formats.RasterMeta:
+    """What a raster says of itself, from its header and tags only; a plain image has a size alone."""
+    if not is_tiff(path):
+        r = picture(spark, path).first()
+        return formats.RasterMeta(r["width"], r["height"], r["channels"], 0.0, 0.0, 1.0, -1.0, None, None)
+    if os.path.exists(local_path(path)):
+        with open(local_path(path), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return formats.Tiff(data).meta()
+    return formats.Tiff(_Ranges(spark, path)).meta()
+
+
+def picture(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, channels, data) of PNGs, or of JPEGs and what else Spark's own image reader takes."""
+    if path.lower().endswith(".png"):
+        return _decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
+    rows = spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:  # blue comes first there
+            pixels = [np.frombuffer(d, dtype=np.uint8).reshape(-1, c) for d, c in zip(pdf.data, pdf.channels, strict=True)]
+            pdf["data"] = [(p[:, [2, 1, 0, *range(3, p.shape[1])]] if p.shape[1] >= 3 else p).tobytes() for p in pixels]
+            yield pdf
+
+    return rows.mapInPandas(turn, "path string, width int, height int, channels int, data binary")
+
+
+def _decoded(files: DataFrame) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             got = [formats.png_decode(c) for c in pdf.content]
             yield pd.DataFrame({"path": pdf.path.to_numpy(), "width": [a.shape[1] for a in got], "height": [a.shape[0] for a in got], "channels": [a.shape[2] for a in got], "data": [a.tobytes() for a in got]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     return files.mapInPandas(read, "path string, width int, height int, channels int, data binary")
 
 
-def raster_meta(spark: SparkSession, path: str) -> formats.RasterMeta:
-    """What a raster says of itself."""
-    return formats.Tiff(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])).meta()
+def images(spark: SparkSession, path: str, glob: str = "tile_*.png") -> DataFrame:
+    """(path, width, height, channels, data) of the PNGs in a folder."""
+    return _decoded(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content"))
 
 
 def raster_tiles(spark: SparkSession, path: str, tiles: DataFrame) -> DataFrame:
-    """Each tile (tile_id, x0, y0, x1, y1) with its pixels: width, height, channels, data."""
-    source = path.removeprefix("file:")
+    """Each tile (tile_id, x0, y0, x1, y1, and what else it has) with its pixels: width, height, channels, data.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import mmap
+    A TIFF's windows are read where they are asked for, so it must be on a path
+    that all executors see. A plain image is decoded once, and each tile is cut
+    from it.
+    """
+    schema = StructType([*tiles.schema.fields, *(StructField(n, IntegerType()) for n in ("width", "height", "channels")), StructField("data", BinaryType())])
+    if not is_tiff(path):
+        return _cut_tiles(picture(spark, path), tiles, schema)
+    source = local_path(path)
 
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with open(source, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
             tiff = formats.Tiff(data)
             for pdf in frames:
-                for t in pdf.itertuples():
+                for k, t in enumerate(pdf.itertuples()):
                     a = tiff.window(t.x0, t.y0, t.x1 - t.x0, t.y1 - t.y0)
-                    yield pd.DataFrame([(t.tile_id, t.x0, t.y0, t.x1, t.y1, a.shape[2], a.tobytes())], columns=["tile_id", "x0", "y0", "x1", "y1", "channels", "data"])
+                    yield pdf.iloc[k : k + 1].assign(width=a.shape[1], height=a.shape[0], channels=a.shape[2], data=[a.tobytes()])
             del tiff
 
-    return tiles.mapInPandas(read, "tile_id string, x0 int, y0 int, x1 int, y1 int, channels int, data binary")
+    return tiles.mapInPandas(read, schema)
+
+
+def _cut_tiles(image: DataFrame, tiles: DataFrame, schema: StructType) -> DataFrame:
+    """Tiles of one decoded image: its row meets all tiles as rows of one array."""
+    every = tiles.groupBy().agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in tiles.columns])).alias("tiles"))
+    both = image.select(F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("channels").alias("_c"), F.col("data").alias("_data")).crossJoin(F.broadcast(every))  # one row each
+    names = tiles.columns
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False, name=None):
+                w, h, c, data, held = r
+                a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c)[:, :, : 1 if c < 3 else 4]
+                for t in held:
+                    part = a[t["y0"] : t["y1"], t["x0"] : t["x1"]]
+                    row = {n: [t[n]] for n in names} | {"width": [part.shape[1]], "height": [part.shape[0]], "channels": [part.shape[2]], "data": [part.tobytes()]}
+                    yield pd.DataFrame(row)
+
+    return both.mapInPandas(cut, schema)
