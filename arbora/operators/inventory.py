@@ -105,8 +105,8 @@ def deduplicate(trees: DataFrame, key: str = "tree_id", size: str = "dbh_cm", or
 
 
 def in_id_order(trees: DataFrame, *places: str) -> DataFrame:
-    """Trees whose ord is their rank by id, then by places: what later ties go by after duplicates have gone."""
-    return ranked(trees.drop("ord"), F.asc("tree_id"), *[F.asc(p) for p in places]).withColumnRenamed("rank", "ord")
+    """Trees whose ord is their rank by id, then by places, then as before: what later ties go by after duplicates have gone."""
+    return ranked(trees, F.asc("tree_id"), *[F.asc(p) for p in places], F.asc("ord")).drop("ord").withColumnRenamed("rank", "ord")
 
 
 def summarise(df: DataFrame, species: str, tree: str, stem: str, english: Mapping[str, str] | None = None, limit: int = 0) -> DataFrame:

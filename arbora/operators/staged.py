@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """This application's part of ``spark.checkpoint.dir``, which goes when the driver ends; a folder of this machine only if all of Spark runs here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
@@ -24,7 +24,7 @@ def _folder(spark: SparkSession) -> str:
 
 def staged_at(df: DataFrame) -> str:
     """Write a table; its path."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.geodesy import offset, utm
+from ..functions.geodesy import utm
 from ..operators import detections as D
 from ..operators import inventory as I
 from ..operators import rasters as R
 from ..operators import tiles as T
 from ..operators.tiles import Grid
+from .file_queries import ALL as FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,12 +203,6 @@ t AS (SELECT *, sinh(atanh(sin(phi)) - {e!r} * atanh({e!r} * sin(phi))) AS t FRO
 SELECT ord, round({EAST} + {SCALE * _RECTIFYING!r} * (eta + {x}), 4) AS easting, round({SCALE * _RECTIFYING!r} * (xi + {y}), 4) AS northing FROM u"""
 
 
-def _offset(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    rows = _read(s, d, "customer").select(k.alias("ord"), offset(6 + (k % 600) / 100.0, 47 + (k % 700) / 100.0, (k % 401 - 200).cast("double"), (k % 307 - 150).cast("double")).alias("p"))
-    return rows.select("ord", F.round("p.lon", 9).alias("lon"), F.round("p.lat", 9).alias("lat"))
-
-
 def _box_cols(s: SparkSession, d: str) -> DataFrame:
     return _boxes(s, d).select("ord", F.col("x1").alias("bx1"), F.col("y1").alias("by1"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"))
 
@@ -215,15 +210,15 @@ def _box_cols(s: SparkSession, d: str) -> DataFrame:
 _max, _mean, _median = _grid("max"), _grid("mean"), _grid("median")
 _SOME = "x0 % 1792 = 0"
 
-#: name -> (query, DuckDB SQL or None)
-ALL: dict[str, tuple[Query, str | None]] = {
+#: name -> (query, DuckDB SQL)
+ALL: dict[str, tuple[Query, str]] = {
     "weak_labels": (_weak, _WEAK),
     "weak_label_tile_counts": (lambda s, d: _weak(s, d).groupBy("tile_id").agg(F.count("*").alias("trees")), f"SELECT tile_id, count(*) AS trees FROM ({_WEAK}) GROUP BY 1"),
     "group_summary_share": (lambda s, d: _species(s, d), _SPECIES),
     "summary_top_n": (lambda s, d: _species(s, d, 5), _SPECIES + " ORDER BY records DESC, latin_name LIMIT 5"),
     "lookup_default": (
-        lambda s, d: D.class_names(_read(s, d, "nation").select(F.col("n_nationkey").alias("label"), "n_name"), _read(s, d, "region").select(F.col("r_regionkey").alias("label"), F.col("r_name").alias("name"))),
-        "SELECT n_nationkey AS label, n_name, coalesce(r_name, n_nationkey::VARCHAR) AS class_name FROM nation LEFT JOIN region ON n_nationkey = r_regionkey WHERE n_nationkey >= 0",
+        lambda s, d: D.class_names(_read(s, d, "nation").select((F.col("n_nationkey") - 3).alias("label"), "n_name"), _read(s, d, "region").select(F.col("r_regionkey").alias("label"), F.col("r_name").alias("name"))),
+        "SELECT n_nationkey - 3 AS label, n_name, coalesce(r_name, (n_nationkey - 3)::VARCHAR) AS class_name FROM nation LEFT JOIN region ON n_nationkey - 3 = r_regionkey WHERE n_nationkey >= 3",
     ),
     "title_case": (lambda s, d: _read(s, d, "part").select("p_partkey", C.title_case(F.col("p_name")).alias("title")), f"SELECT p_partkey, {_TITLE.format('p_name')} AS title FROM part"),
     "status_dbh_filter": (
@@ -265,11 +260,11 @@ ALL: dict[str, tuple[Query, str | None]] = {
         f"SELECT tile_id, x0, y0 FROM ({_tiles_sql(GRID)}) WHERE NOT ({_SOME})",
     ),
     "tile_weak_left": (
-        lambda s, d: GRID.frame(s).join(_weak(s, d).where("dbh_cm > 49").groupBy("tile_id").agg(F.count("*").alias("n"), F.max("bbox_x2").alias("edge")), "tile_id", "left").select("tile_id", F.coalesce("n", F.lit(0)).alias("n"), "edge"),
-        f"WITH w AS (SELECT tile_id, count(*) AS n, max(bbox_x2) AS edge FROM ({_WEAK}) WHERE dbh_cm > 49 GROUP BY 1) SELECT tile_id, coalesce(n, 0) AS n, edge FROM ({_tiles_sql(GRID)}) LEFT JOIN w USING (tile_id)",
+        lambda s, d: GRID.frame(s).join(_weak(s, d).where("tile_id NOT LIKE '%_x896_%'").groupBy("tile_id").agg(F.count("*").alias("n"), F.max("bbox_x2").alias("edge")), "tile_id", "left").select("tile_id", F.coalesce("n", F.lit(0)).alias("n"), "edge"),
+        f"WITH w AS (SELECT tile_id, count(*) AS n, max(bbox_x2) AS edge FROM ({_WEAK}) WHERE tile_id NOT LIKE '%_x896_%' GROUP BY 1) SELECT tile_id, coalesce(n, 0) AS n, edge FROM ({_tiles_sql(GRID)}) LEFT JOIN w USING (tile_id)",
     ),
     "grid_max": _max,
-    "grid_mean": (lambda s, d: _mean[0](s, d).withColumn("z", F.round(F.col("z").cast("double"), 1)), f"SELECT row, col, round(z::DOUBLE, 1) AS z FROM ({_mean[1]})"),
+    "grid_mean": _mean,
     "grid_median": _median,
     "grid_extent": (lambda s, d: R.extent(_points(s, d)), f"SELECT count(*) AS num_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM (SELECT x, round(y, 0) AS y, z FROM ({_POINTS}))"),
     "gray_u8": (
@@ -315,12 +310,16 @@ SELECT ord, CASE WHEN error IS NULL THEN v[1] END AS x1, CASE WHEN error IS NULL
         "SELECT event_type, event_id AS ord, value AS conf FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) = 1",
     ),
     "detections_per_tile": (
+        lambda s, d: D.per_tile(GRID.frame(s), T.boxes_in_tiles(_box_cols(s, d).where("ord % 6 = 0"), GRID).where("x0 < 4000")).select("tile_id", "x0", "y0", "count"),
+        f"WITH n AS (SELECT tile_id, count(*) AS n FROM ({_BOXES}) b JOIN ({_tiles_sql(GRID)}) t ON b.x1 < t.x1 AND b.x2 > x0 AND b.y1 < t.y1 AND b.y2 > y0 WHERE ord % 6 = 0 AND x0 < 4000 GROUP BY 1) SELECT tile_id, x0, y0, coalesce(n, 0) AS count FROM ({_tiles_sql(GRID)}) LEFT JOIN n USING (tile_id)",
+    ),
+    "confidence_summary": (
         lambda s, d: D.confidence_summary(_events(s, d), "conf").select("n", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), F.round("greatest", 6).alias("greatest")),
         "SELECT count(value) AS n, round(min(value), 6) AS least, round(avg(value), 6) AS mean, round(max(value), 6) AS greatest FROM events",
     ),
     "iou_pairs": (lambda s, d: D.overlaps(D.ranked(_boxes(s, d), F.desc("score"), F.asc("ord")), 0.3, 64.0), _IOU.format(_RANKED) + " SELECT hi, lo, iou FROM e"),
     "nms_merge": (
-        lambda s, d: D.suppress(_boxes(s, d), 0.3, 64.0).select("ord", "rank", "score"),
+        lambda s, d: D.suppress(_boxes(s, d), 0.3).select("ord", "rank", "score"),
         _IOU.format(_RANKED).replace("WITH r", "WITH RECURSIVE r", 1)
         + """, h AS (SELECT lo, list(hi) AS his, row_number() OVER (ORDER BY lo) AS n FROM e GROUP BY lo),
 k(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT h.n, CASE WHEN len(list_filter(h.his, lambda z: NOT list_contains(k.gone, z))) > 0 THEN list_append(k.gone, h.lo) ELSE k.gone END FROM k JOIN h ON h.n = k.n + 1)
@@ -336,8 +335,9 @@ SELECT ord, rank, score FROM r WHERE NOT list_contains((SELECT gone FROM k ORDER
     "blend_weighted": (_blend, _BLEND),
     "narrowest_interval": (lambda s, d: D.narrowest(*_spans_of_nations(s, d), 256), _NARROW),
     "utm_forward": (_utm, _utm_sql()),
-    "geodesic_offset": (_offset, None),
 }
 
+ALL |= FILES
+
 QUERIES: dict[str, Query] = {k: v[0] for k, v in ALL.items()}
-ORACLES: dict[str, str] = {k: v[1] for k, v in ALL.items() if v[1]}
+ORACLES: dict[str, str] = {k: v[1] for k, v in ALL.items()}

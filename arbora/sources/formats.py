@@ -333,6 +333,7 @@ def las_points(data: bytes, length: int, scale: np.ndarray, offset: np.ndarray)
 
 def las_encode(points: np.ndarray, scale: float = 0.001) -> bytes:
     """Points (n, 3) as LAS 1.2, record format 0."""
+    points = np.ascontiguousarray(points, dtype=float)
     low = points.min(axis=0) if len(points) else np.zeros(3)
     high = points.max(axis=0) if len(points) else np.zeros(3)
     head = bytearray(227)
@@ -438,12 +439,27 @@ def dbf_rows(data: bytes) -> tuple[list[str], list[dict[str, str]]]:
     return names, [dict(zip(names, dbf_values(data[begin + k * size : begin + (k + 1) * size], fields), strict=True)) for k in range(n)]
 
 
-def shp_encode(points: list[tuple[float, float]], fields: list[tuple[str, str, int, int]], rows: list[list]) -> dict[str, bytes]:
-    """.shp, .shx and .dbf of points; fields are name, kind (C or N), width and decimals."""
-    xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
-    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<ii8d", 1000, 1, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0)
-    shp = head(50 + 14 * len(points)) + b"".join(struct.pack(">ii", k + 1, 10) + struct.pack("<idd", 1, *p) for k, p in enumerate(points))
-    shx = head(50 + 4 * len(points)) + b"".join(struct.pack(">ii", 50 + 14 * k, 10) for k in range(len(points)))
+def _shp_body(shape: tuple[float, float] | list[list[tuple[float, float]]] | None) -> bytes:
+    """A record's content: a point, a polygon of rings, or nothing."""
+    if shape is None:
+        return struct.pack("<i", 0)
+    if isinstance(shape, tuple):
+        return struct.pack("<idd", 1, *shape)
+    flat = np.array([p for ring in shape for p in ring], dtype="<f8")
+    starts = np.cumsum([0, *(len(r) for r in shape[:-1])]).astype("<i4")
+    return struct.pack("<i4dii", 5, *flat.min(axis=0), *flat.max(axis=0), len(shape), len(flat)) + starts.tobytes() + flat.tobytes()
+
+
+def shp_encode(shapes: list, fields: list[tuple[str, str, int, int]], rows: list[list]) -> dict[str, bytes]:
+    """.shp, .shx and .dbf of points, or of polygons as lists of closed rings (outer ones clockwise); fields are name, kind (C or N), width and decimals."""
+    bodies = [_shp_body(p) for p in shapes]
+    flat = [p for s in shapes if s is not None for p in ([s] if isinstance(s, tuple) else [q for r in s for q in r])]
+    xs, ys = [p[0] for p in flat] or [0.0], [p[1] for p in flat] or [0.0]
+    kind = 5 if any(isinstance(s, list) for s in shapes) else 1
+    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<ii8d", 1000, kind, min(xs), min(ys), max(xs), max(ys), 0, 0, 0, 0)
+    places = 50 + np.cumsum([0, *(4 + len(b) // 2 for b in bodies)])
+    shp = head(int(places[-1])) + b"".join(struct.pack(">ii", k + 1, len(b) // 2) + b for k, b in enumerate(bodies))
+    shx = head(50 + 4 * len(bodies)) + b"".join(struct.pack(">ii", int(at), len(b) // 2) for at, b in zip(places, bodies, strict=False))
     size = 1 + sum(f[2] for f in fields)
     dbf = struct.pack("<B3BIHH20x", 3, 26, 1, 1, len(rows), 33 + 32 * len(fields), size)
     dbf += b"".join(n.encode()[:10].ljust(11, b"\0") + k.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, k, w, d in fields) + b"\r"
