@@ -27,6 +27,8 @@ REPEATS = 3
 #: 2^32 divided by the golden ratio, and the slots that are ranked together.
 GOLDEN = 2654435769
 CHUNK = 65536
+#: Tasks that rows of one source and size without an id are dealt to.
+UNNAMED_PARTS = 64
 SPAN = 1 << 32
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,10 +89,11 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 
 def layout(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each document's place in its source's run of words: doc_id, size, no, source_size, target, blocks, bucket, rn, start."""
+    """Each document's place in its source's run of words, for sizes as of measured: doc_id, size, no, source_size, target, blocks, bucket, rn, start."""
     rows = sizes.withColumnRenamed("source", "_source").join(plan, F.col("_source").eqNullSafe(F.col("source")))
-    code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.select("doc_id", "size", "no", "source_size", "target", "blocks", code.alias("code"), F.substring(code, 1, 3).alias("bucket"))
+    # rows without an id come last, by size; of one size they are alike, so that any of them may come first, and many share no task
+    unnamed, code = F.col("doc_id").isNull(), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+    rows = rows.select("doc_id", "size", "no", "source_size", "target", "blocks", code.alias("code"), F.when(unnamed, F.format_string("x%012d-%03d", "size", "spread")).otherwise(F.substring(code, 1, 3)).alias("bucket"))
     sums = rows.groupBy("no", "bucket").agg(F.sum("size").alias("n"))
     offsets = sums.select("no", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     within = W.partitionBy("no", "bucket").orderBy("code", "size")
@@ -98,15 +101,23 @@ def layout(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return placed.join(offsets, ["no", "bucket"]).withColumn("start", F.col("local") + F.col("offset")).drop("code", "local", "offset")
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """Each document's doc_id, source and size, and the part that it belongs to if it has no id; stored, so that a part doesn't change."""
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(UNNAMED_PARTS))
+    rows = only(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), spread.alias("spread"))
+    return stash(rows, "sizes")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target (of its source), taken (words that the mix takes of it, repeats counted).
 
     No document is taken more than three times. Null sources are one source,
     which comes last; null texts have size 0 and nothing is taken of them;
-    repeated rows are documents of their own; an empty table gives no rows.
-    Other columns are ignored. Reruns agree: the order is by a hash of doc_id.
+    repeated rows are documents of their own; an empty table gives no rows; very
+    long texts are counted whole. Other columns are ignored. Reruns agree: the
+    order is by a hash of doc_id, and rows without one come last, by size.
     """
-    sizes = stash(only(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")), "sizes")
+    sizes = measured(docs)
     plan = stash(source_plan(sizes), "plan")
     times = schedule(plan).where(F.col("epoch") < REPEATS).groupBy("no", "block").agg(F.count("*").alias("times"))
     placed = stash(layout(sizes, plan), "layout")

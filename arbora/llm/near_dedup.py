@@ -48,8 +48,8 @@ BLOCK_SHINGLES = 1_000_000
 CELL_BLOCKS = 8
 
 
-#: Bits of the filter that tells most documents that take part from the rest: its size is fixed, more documents only blur it.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that tells most documents that take part from the rest: 16 for each within these bounds, at most 16 MB; more documents only blur it.
+FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 27
 _BITMAP_BITS = 32768
 
 
@@ -244,24 +244,24 @@ def _links(rows: DataFrame) -> DataFrame:
     return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "key", "near", "shingles", "signature").mapInArrow(walk, "a long, b long")
 
 
-def _place(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("filter"), doc_id), F.lit(FILTER_BITS))
-
-
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles, signature) from the whole texts of the documents in wanted (doc_id), and of the few others that a filter of fixed size lets through."""
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(F.col("doc_id")))
+    """(key, shingles, signature) from the whole texts of the documents in wanted (doc_id), which is stored, and of the few others that a filter lets through."""
+    size, most = FILTER_LEAST, min(FILTER_MOST, 16 * wanted.count())
+    while size < most:
+        size *= 2
+    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit("filter"), "doc_id"), F.lit(size)))
     maps = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / _BITMAP_BITS).alias("n")).agg(F.bitmap_construct_agg(F.col("p") % _BITMAP_BITS).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for n, got in maps.collect():  # FILTER_BITS / 8 bytes at most
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for n, got in maps.collect():  # size / 8 bytes at most
         bits[n * _BITMAP_BITS // 8 :][: len(got)] = np.frombuffer(bytes(got), dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, sought = Signer(COORDINATES), np.unpackbits(shared.value, bitorder="little").view(bool)
+        signer, sought = Signer(COORDINATES), shared.value
         for batch in batches:
             keys, sets, signed = [], [], []
-            here = np.nonzero(sought[batch.column(1).to_numpy()])[0]
+            at = batch.column(1).to_numpy()
+            here = np.nonzero(sought[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
             for text in batch.column(0).take(pa.array(here)):
                 s = shingle_set(text.as_py(), WORDS)
                 if len(s):
@@ -303,7 +303,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     posts = stash(prefix_posts(first), "posts")
     members = stash(clusters(posts).join(nodes, "key"), "clusters")
     # rows that are repeated, or have no id, can give a set many times; a cell gets it once
-    sets = stash(_full_sets(docs, members.select("doc_id").distinct()).groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "sets")
+    sets = stash(_full_sets(docs, stash(members.select("doc_id").distinct(), "wanted")).groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "sets")
     rows, spoken = meetings(members, sets)
     roots = components(_links(rows.join(sets, "key")).unionAll(spoken), "links")
     named = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

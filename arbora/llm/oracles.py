@@ -124,7 +124,7 @@ ranked AS (SELECT no, blocks, row_number() OVER (PARTITION BY no ORDER BY slot)
 times AS (SELECT no, r % blocks AS block, count(*) AS times FROM ranked WHERE r // blocks < {REPEATS} GROUP BY ALL),
 place AS (
   SELECT d.row, d.doc_id, d.size, p.no, p.source_size, p.target, p.blocks, coalesce(sum(d.size) OVER (PARTITION BY p.no
-    ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS start
+    ORDER BY d.doc_id IS NULL, md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS start
   FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 pieces AS (
   SELECT *, unnest(range((((start + 1) * blocks - 1) // source_size)::BIGINT, (((start + size) * blocks - 1) // source_size)::BIGINT + 1)) AS block

@@ -24,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/arbora/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; this application's part of the folder goes when its driver ends."""
+    folder = f"{shared_dir(spark)}/arbora-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:

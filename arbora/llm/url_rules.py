@@ -2,7 +2,7 @@
 
 A host's labels, reversed and each followed by a dot, make a key; a rule's
 host is then an interval of keys that holds the host and all its subdomains,
-and intervals are nested or disjoint. URLs are dealt out evenly by their id, the
+and intervals are nested or disjoint. URLs are dealt out evenly by their place, the
 few rules go to every part, and each part is sorted by key and swept once: the
 last rule host that started at or before a URL's key brings the stack of rule
 hosts that were open there, of which those that still hold the key are active.
@@ -47,7 +47,9 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 
 
 def rules_frame(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """Rules as rows (host, path, verdict)."""
+    each = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*each)))
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAULT) -> DataFrame:
@@ -55,12 +57,13 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
 
     Of the rules that fit the longest wins, ties by code point. A null url or
     one without :// has an empty host and path, and no rule. Repeated rows and
-    null ids come out as they come in; other columns are ignored.
+    null ids come out as they come in; an empty table gives no rows; very long
+    urls are read whole; other columns are ignored.
     """
     spark = pages.sparkSession
     stacks = rule_stacks(rules if rules is not None else rules_frame(spark))
     parts = max(32, 2 * partitions(spark))
-    rows = only(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("page_id", "url").alias("h"))
+    rows = only(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(F.monotonically_increasing_id()).alias("h"))
     urls = rows.select(F.pmod("h", F.lit(parts)).alias("part"), key_of(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
     dealt = stacks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"), "stack")
     sweep = W.partitionBy("part").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)

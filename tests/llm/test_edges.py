@@ -149,3 +149,51 @@ def test_quality_of_many_rows_of_copies_and_of_long_texts(spark, monkeypatch):
     rows = [(k, good if k % 2 else junk()) for k in range(40)] + [(100, good * 20000), (101, junk() * 3000), (102, None)]
     got = {r.doc_id: r.kept for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] and not got[101] and not got[102] and sum(got[k] == bool(k % 2) for k in range(40)) >= 38
+
+
+def test_mixing_of_many_rows_without_id_and_of_a_long_text(spark):
+    from arbora.llm import mixing
+
+    rows = [(None, "a b c", "s")] * 500 + [(k, "w " * (k % 9), "s" if k % 3 else "t") for k in range(90)] + [(1000, "long text " * 300000, "t"), (1000, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect())) and len(got) == len(rows)
+    for s in {r.source_size for r in got}:
+        part = [r for r in got if r.source_size == s]
+        assert all(r.taken <= 3 * r.size for r in part) and abs(sum(r.taken for r in part) - part[0].target) <= 0.02 * part[0].target + 1
+    sizes = mixing.measured(df)
+    sums = mixing.layout(sizes, mixing.source_plan(sizes))
+    ends = sorted((r.no, r.start, r.start + r.size) for r in sums.collect() if r.size)
+    assert all(b[1] == (a[2] if a[0] == b[0] else 0) for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_url_rules_of_long_and_repeated_urls(spark):
+    from arbora.llm import url_rules
+
+    urls = ["https://a.example.org/es/" + "x" * 100000, "http://" + ".".join(["a"] * 5000) + ".com/de/q"] + ["http://b.com/fr/"] * 2000
+    got = url_rules.judge(spark.createDataFrame([(7, u) for u in urls], "page_id long, url string")).collect()
+    assert len(got) == len(urls) and sorted({(r.rule, r.verdict) for r in got}) == [("com/de/", "block"), ("com/fr/", "allow"), ("example.org/es/", "block")]
+    assert sum(r.rule == "com/fr/" for r in got) == 2000 and max(len(r.path) for r in got) == 100004
+
+
+def test_the_pipeline_of_empty_and_odd_documents(spark, tmp_path):
+    import corpus_pipeline as C
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _found string, _leaks string, _blob string"
+    bench = spark.createDataFrame([(0, "what is the name of the river that runs by the old town of the north and where does it end in the sea?"), (None, "x"), (1, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    bench.limit(0).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    good = "The cat sat on a mat, and it was of the best of cats that there are in the town. " * 3
+    rows = [(None, good + "One more line of this."), (None, good + "One more line of this."), (1, good + "And token=abcdef12345 is here."), (2, good.replace("cat", "dog") + bench.first().text), (3, None), (None, ""), (4, "ßé " + good.replace("mat", "rug") * 2000)]
+    docs = spark.createDataFrame([(k, t, None, None if n % 2 else "s", None, "f", "l", "b") for n, (k, t) in enumerate(rows)], schema)
+    for d, name in ((docs, "a"), (docs, "b"), (docs.limit(0), "a")):
+        d.write.mode("overwrite").parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = C.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert (len(out) > 0) == (d is docs) and all(r.taken > 0 for r in out)
+        one = d
+        for _, stage in C.STAGES[:-1]:
+            one = stage(spark, one, f"file://{tmp_path}/{name}")
+            assert one.columns == docs.columns
+        kept = {r.text for r in one.collect()}
+        assert not kept or any("[secret]" in t for t in kept) or name == "b"
+        assert not any(bench.first().text in t for t in kept) or name == "b"
