@@ -83,7 +83,10 @@ def offset(lon: Column, lat: Column, east: Column, north: Column) -> Column:
 
 
 def crs_of(wkt: str | None) -> tuple[str, int, bool] | None:
-    """("wgs84", 0, True) or ("utm", zone, north) of a WKT or EPSG text; null for a blank one; raises ValueError for others."""
+    """("wgs84", 0, True), ("utm", zone, north) or ("mercator", 0, True) of a WKT or EPSG text; null for a blank one; raises ValueError for others.
+
+    UTM on ETRS89 and NAD83 counts as on WGS84, from which they are off by a metre or two.
+    """
     text = (wkt or "").strip()
     if not text:
         return None
@@ -94,6 +97,10 @@ def crs_of(wkt: str | None) -> tuple[str, int, bool] | None:
         return "utm", int(zone[1]), zone[2] == "N"
     if 32601 <= code <= 32660 or 32701 <= code <= 32760:
         return "utm", code % 100, code < 32700
+    if 25828 <= code <= 25838 or 26901 <= code <= 26923:
+        return "utm", code % 100, True
+    if code == 3857:
+        return "mercator", 0, True
     if code == 4326 or re.match(r"GEOG(CS|CRS)\[\"WGS[ _]?(19)?84", text):
         return "wgs84", 0, True
     raise ValueError(f"unsupported coordinate system: {text[:80]}")
@@ -119,6 +126,8 @@ def to_raster(lon: Column, lat: Column, wkt: str | None, stem: str = "") -> tupl
     crs = crs_of(wkt)
     if crs and crs[0] == "wgs84":
         return lon, lat
+    if crs and crs[0] == "mercator":
+        return F.radians(lon) * A, F.asinh(F.tan(F.radians(lat))) * A
     zone = crs[1:] if crs else zone_of_name(stem)
     if not zone:
         raise ValueError("the raster has no coordinate system, and its name gives none")
@@ -128,4 +137,6 @@ def to_raster(lon: Column, lat: Column, wkt: str | None, stem: str = "") -> tupl
 def origin_wgs84(x: float, y: float, wkt: str | None) -> tuple[float, float]:
     """A raster's upper left corner; without a system it is taken as longitude and latitude."""
     crs = crs_of(wkt)
+    if crs and crs[0] == "mercator":
+        return math.degrees(x / A), math.degrees(math.atan(math.sinh(y / A)))
     return utm_inverse(x, y, crs[1], crs[2]) if crs and crs[0] == "utm" else (x, y)

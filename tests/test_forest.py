@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.functions import columns as C
-from arbora.functions.geodesy import crs_of, direct, utm, utm_inverse
+from arbora.functions.geodesy import crs_of, direct, origin_wgs84, to_raster, utm, utm_inverse
 from arbora.operators import detections as D
 from arbora.operators import inventory as I
 from arbora.operators import rasters as R
@@ -109,8 +109,12 @@ def test_geodesy(spark):
     lon, lat = direct(np.array([0.0]), np.array([0.0]), np.array([90.0]), np.array([111319.49079327358]))
     assert abs(lon[0] - 1) < 1e-9 and abs(lat[0]) < 1e-9
     assert crs_of("EPSG:32733") == ("utm", 33, False) and crs_of(" ") is None
+    assert crs_of("EPSG:25832") == ("utm", 32, True) and crs_of("EPSG:26917") == ("utm", 17, True)
     with pytest.raises(ValueError):
-        crs_of("EPSG:3857")
+        crs_of("EPSG:2056")
+    x, y = spark.range(1).select(*to_raster(F.lit(-100 - 1 / 3), F.lit(24 + 22 / 60 + 54.433 / 3600), "EPSG:3857")).first()
+    assert abs(x + 11169055.58) < 0.01 and abs(y - 2800000) < 0.01
+    assert origin_wgs84(x, y, "EPSG:3857") == pytest.approx((-100 - 1 / 3, 24 + 22 / 60 + 54.433 / 3600))
 
 
 def test_height_grid(spark, tmp_path):
