@@ -249,6 +249,30 @@ def test_decontamination_is_brute_force(spark):
     assert decontaminate.contaminated(_docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def _plain_align(doc, item):
+    """Smith and Waterman's table cell by cell; the best score."""
+    best, above = 0, [0] * (len(doc) + 1)
+    for w in item:
+        row = [0]
+        for k, d in enumerate(doc):
+            row.append(max(0, above[k] + (2 if d == w else -1), above[k + 1] - 1, row[k] - 1))
+            best = max(best, row[-1])
+        above = row
+    return best
+
+
+def test_alignment_is_the_plain_table():
+    rng = random.Random(13)
+    for _ in range(300):
+        item = [rng.randrange(12) for _ in range(rng.randrange(1, 20))]
+        doc = [rng.randrange(12) for _ in range(rng.randrange(0, 10))] + [w for w in item if rng.random() < 0.8] + [rng.randrange(12) for _ in range(rng.randrange(1, 10))]
+        a, b = (np.array(x, dtype=np.uint64) for x in (doc, item))
+        score, first, last = decontaminate.align(a, b)
+        assert score == _plain_align(doc, item)
+        if score:  # the words from first to last alone give that score
+            assert _plain_align(doc[first : last + 1], item) == score
+
+
 def _edited_as(rng, words, share, kind):
     out = []
     for w in words:
