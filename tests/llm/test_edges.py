@@ -186,14 +186,12 @@ def test_the_pipeline_of_empty_and_odd_documents(spark, tmp_path):
     good = "The cat sat on a mat, and it was of the best of cats that there are in the town. " * 3
     rows = [(None, good + "One more line of this."), (None, good + "One more line of this."), (1, good + "And token=abcdef12345 is here."), (2, good.replace("cat", "dog") + bench.first().text), (3, None), (None, ""), (4, "ßé " + good.replace("mat", "rug") * 2000)]
     docs = spark.createDataFrame([(k, t, None, None if n % 2 else "s", None, "f", "l", "b") for n, (k, t) in enumerate(rows)], schema)
-    for d, name in ((docs, "a"), (docs, "b"), (docs.limit(0), "a")):
-        d.write.mode("overwrite").parquet(f"{tmp_path}/{name}/documents.parquet")
-        out = C.run(spark, f"file://{tmp_path}/{name}").collect()
-        assert (len(out) > 0) == (d is docs) and all(r.taken > 0 for r in out)
-        one = d
-        for _, stage in C.STAGES[:-1]:
-            one = stage(spark, one, f"file://{tmp_path}/{name}")
-            assert one.columns == docs.columns
-        kept = {r.text for r in one.collect()}
-        assert not kept or any("[secret]" in t for t in kept) or name == "b"
-        assert not any(bench.first().text in t for t in kept) or name == "b"
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert C.run(spark, f"file://{tmp_path}/b").collect() == []
+    one = docs
+    for _, stage in C.STAGES[:-1]:
+        one = stage(spark, one, f"file://{tmp_path}/a")
+        assert one.columns == docs.columns
+    kept = {r.text for r in one.collect()}
+    assert any("[secret]" in t for t in kept) and not any(bench.first().text in t for t in kept)
+    assert all(r.taken > 0 for r in C.STAGES[-1][1](spark, one, f"file://{tmp_path}/a").collect())
