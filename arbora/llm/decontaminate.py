@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, stash
+from .shared import dealt, only, stash
 from .shingles import gram_hashes, word_hashes, words_of
 
 SEED_WORDS = 3
@@ -130,7 +130,7 @@ class SeedTable:
 
 def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, text, seeds, at): the rows of docs in which seeds occur, and where."""
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = dealt(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # SEED_WORDS values at most
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     table = None

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, stash
+from .shared import dealt, only, stash
 from .url_rules import host_of
 
 #: Templates, and texts of them, that are sent to all executors at most (some tens of MB); more are joined by a shuffle.
@@ -354,6 +354,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = made.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.size("texts")), F.lit(0))).first()
     few = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_TEXTS
     rows = only(pages, "page_id", "url", "html").select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
+    rows = dealt(rows)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     known = None
     if few:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .shared import only, stash
+from .shared import dealt, only, stash
 from .shingles import Signer, shingle_set, similar
 
 COORDINATES = 64
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 signed.append(signer.sign(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(signed, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "key", "signature"])
 
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = dealt(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, key long, signature array<int>")
 
 
@@ -270,7 +270,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     signed.append(signer.sign(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(signed, pa.binary())], ["key", "shingles", "signature"])
 
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = dealt(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.select("text", place.alias("p")).mapInArrow(read, "key long, shingles binary, signature binary")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import dealt, only
 from .spans import bound, counted, joined, matches, part, pieces, spans
 
 #: A match starts at the start of its run of characters or where the last match ended, which spares a long run a try at each of its places.
@@ -108,7 +108,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     time near its length. Repeated rows and null ids come out as they come in, an empty table gives no rows, other
     columns are ignored.
     """
-    rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = dealt(only(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     got = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(k) for k, p in SOUGHT.items()])
     each = [_confirmed_spans(kind, pattern) for kind, pattern in SOUGHT.items()]
     found = got.select("doc_id", "text", F.concat(*each).alias("found"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, stash
+from .shared import dealt, only, stash
 
 #: The bound on the sample that trains the scorer, taken by a hash of doc_id and text.
 TRAIN_ROWS = 6000
@@ -231,7 +231,7 @@ class QualityModel:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return dealt(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
 def _sample(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
@@ -309,4 +309,4 @@ def keep_good(docs: DataFrame, keep: float = KEEP) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([shared.value.score(t.as_py()) >= keep for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(good, docs.schema)
+    return dealt(docs).mapInArrow(good, docs.schema)

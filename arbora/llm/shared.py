@@ -38,6 +38,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files that are too few for all cores, up to which their rows are dealt out: a row group's usual size.
+SMALL = 128 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out to all cores if they come from fewer files than these, of SMALL bytes at most: a small file can be one task else."""
+    files, cores = df.inputFiles(), df.sparkSession.sparkContext.defaultParallelism
+    if not files or len(files) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(cores)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever other columns the table has."""
     return df.select(*[df[f"`{n}`"].alias(n) for n in names])
