@@ -44,8 +44,10 @@ SMALL = 128 << 20
 
 def dealt(df: DataFrame) -> DataFrame:
     """df, its rows dealt out to all cores if they come from fewer files than these, of SMALL bytes at most: a small file can be one task else."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df  # before the files are listed, which may be very many
     files, cores = df.inputFiles(), df.sparkSession.sparkContext.defaultParallelism
-    if not files or len(files) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+    if not files or len(files) >= cores:
         return df
     return df.repartition(cores)
 
